@@ -61,12 +61,15 @@ class Mix:
 
     def stream(self) -> DataFrame:
         """The mix itself: for every slot the spans (document, first word, words) of its block."""
-        return self.slots.join(self.spans.filter("block is not null"), ["src", "block"])
+        return self.slots.hint("merge").join(self.spans.filter("block is not null"), ["src", "block"])
 
     def taken(self) -> DataFrame:
-        """rows with ``taken``: words the mix takes of each document, repeats counted."""
+        """rows with ``taken``: words the mix takes of each document, repeats counted.
+
+        Slots are generated, so Spark underrates their number; the hint keeps it from broadcasting their counts.
+        """
         times = self.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-        by_row = self.spans.join(times, ["src", "block"], "left").groupBy("row_index", "doc_id", "size", "src")
+        by_row = self.spans.join(times.hint("merge"), ["src", "block"], "left").groupBy("row_index", "doc_id", "size", "src")
         return by_row.agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).cast("long").alias("taken"))
 
 
@@ -125,11 +128,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options)
     times = m.slots.groupBy("src", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     first = m.spans.filter("first_word = 0 and block is not null").select("doc_id", "size", "src", "block")
-    drawn = first.join(times, ["src", "block"]).join(m.sources.select("src", F.col("source").alias("_source")), "src")
+    drawn = first.join(times.hint("merge"), ["src", "block"]).join(m.sources.select("src", F.col("source").alias("_source")), "src")
     drawn = drawn.groupBy(F.col("doc_id").alias("_id"), "_source", F.col("size").alias("_size")).agg(F.sum("times").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     # repeated rows (same id, source and size) share what they draw
     drawn = drawn.select("_id", "_source", "_size", F.greatest(F.lit(1), F.round(F.col("_sum") / F.col("_rows"))).cast("int").alias("_times"))
     sized = docs.withColumn("_words", word_count())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    both = sized.join(drawn, same)
+    both = sized.join(drawn.hint("merge"), same)
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
