@@ -1,91 +1,13 @@
-"""Shared storage and global order helpers used by the corpus operators.
-
-Lineage is cut by writing a table into the folder that the cluster names in ``spark.checkpoint.dir``.
-Every executor can read it, so a lost executor costs only the tasks it was running.
-"""
+"""Helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tables written by this driver, removed when it ends.
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``; a temporary folder only where unset and Spark is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="agentlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back, with its own schema and no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/agentlake/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the tables written so far; results that still read them must have been consumed."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
-        except Exception:  # the session has ended; the folder belongs to the cluster
-            return
-
-
-atexit.register(release)
-
-
-def narrow(df: DataFrame, limit: int) -> DataFrame:
-    """``df``, marked for broadcast only if it has at most ``limit`` rows (counted); left to a shuffle join beyond."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def with_prefix(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``row_index`` and ``prefix`` (sum of ``value`` over the rows before) in the global order of ``order``.
+from agentlake.operators.order import materialise, narrow, release, shared_dir, with_prefix
 
-    Rows are dealt by range of ``order``, so a hot leading value spreads over partitions if later columns
-    differ. The dealt table is written once; then each partition's total (one row per partition, which
-    bounds what is broadcast) gives its offset and a window inside the partition does the rest.
-    """
-    dealt = materialise(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id()),
-        name,
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    offsets = totals.select(
-        "_part",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"),
-    )
-    inside = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        dealt.join(F.broadcast(offsets), "_part")
-        .withColumn("prefix", F.col("_base") + F.sum(value).over(inside) - F.col(value))
-        .withColumn("row_index", F.col("_first") + F.row_number().over(inside) - 1)
-        .drop("_part", "_seq", "_base", "_first")
-    )
+__all__ = ["materialise", "narrow", "release", "shared_dir", "text_or_empty", "with_prefix"]
 
 
 def text_or_empty(name: str = "text") -> Column:
