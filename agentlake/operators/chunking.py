@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
+from agentlake.functions.arrow import arrow
 
 # Misread header words.
 HEADER_FIXES = {"Receipte": "Receipts", "Expendituree": "Expenditures", "Expendltures": "Expenditures", "Unexpanded": "Unexpended"}
@@ -228,7 +229,7 @@ def index_records(chunks: DataFrame) -> DataFrame:
     return kept.select("content", F.col("file_name").alias("source"), "bulletin_date", "page_info", "chunk_type")
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def html_tables(html: pd.Series) -> pd.Series:
     return html.map(lambda h: markdown_tables(h or ""))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
+from agentlake.functions.arrow import arrow
 
 LEAST_TEXT = 20
 
@@ -78,7 +79,7 @@ def all_sources(loaders: dict[str, Callable[[], DataFrame]], allow_partial: bool
 # --- digests ---
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _row_digest(row: pd.Series) -> pd.Series:
     return row.map(lambda r: hashlib.sha256(json.dumps(json.loads(r)).encode()).hexdigest())
 

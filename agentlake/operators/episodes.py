@@ -119,7 +119,7 @@ def bounded_history(rows: DataFrame, budget: int) -> DataFrame:
     size = F.octet_length("text")
     at = rows.withColumn("_before", F.sum(size).over(w) - size).filter(F.col("_before") < budget)
     room = (F.lit(budget) - F.col("_before")).cast("int")
-    cut = F.decode(F.substring(F.encode("text", "utf-8"), F.lit(1), room), "utf-8")
+    cut = F.make_valid_utf8(F.substring(F.encode("text", "utf-8"), F.lit(1), room).cast("string"))
     return at.withColumn("text", F.when(size > room, F.regexp_replace(cut, "�+$", "")).otherwise(F.col("text"))).drop("_before")
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agentlake.functions.arrow import arrow
 from agentlake.operators.corpus import tree_digest
 
 
@@ -65,15 +66,12 @@ def csv_strings(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str, unique: str | None = None) -> DataFrame:
     """JSON lines without blank ones (S7, S8). A bad line, an empty source or a repeated key is an error that says where."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    at = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.file_block_start"))
-    bad = at.filter("_corrupt_record is not null").select("_file", F.substring("_corrupt_record", 1, 120)).limit(1).persist()
-    try:
-        if worst := bad.collect():
-            raise Rejected(f"{worst[0][0]}: not JSON: {worst[0][1]}")
-    finally:
-        bad.unpersist()
-    df = df.drop("_corrupt_record")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.select(F.col("_metadata.file_path").alias("_file"), "value", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("v"))
+    if worst := parsed.filter("v._corrupt_record is not null").limit(1).collect():
+        raise Rejected(f"{worst[0]['_file']}: not JSON: {worst[0]['value'][:120]}")
+    df = parsed.select("v.*").drop("_corrupt_record")
     if not df.limit(1).count():
         raise Rejected(f"{path} is empty")
     if unique and (twice := df.groupBy(unique).count().filter("count > 1").limit(3).collect()):
@@ -90,7 +88,7 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """file_name, text of non-empty text files (S10); bytes that aren't UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"[^/]*$", 0).alias("file_name")
-    return raw.select(name, F.decode("content", "utf-8").alias("text")).filter("text <> ''")
+    return raw.select(name, F.make_valid_utf8(F.col("content").cast("string")).alias("text")).filter("text <> ''")
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +128,7 @@ def last_value(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.max_by("value", "line").alias("value"))
 
 
-@F.pandas_udf("binary")
+@arrow("binary")
 def _inflated(data: pd.Series) -> pd.Series:
     return data.map(lambda d: zlib.decompress(base64.b64decode(d)))
 
