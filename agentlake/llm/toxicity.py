@@ -195,6 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     x, folds = Rows([r["index"] for r in rows], [r["value"] for r in rows], max(len(inputs), 1)), np.array([r["fold"] for r in rows], dtype=int)
     model, extra = Model(settings, inputs), np.zeros((len(rows), 0))
     weights = np.zeros((n, max(len(inputs), 1)))
+    # inputs that nearly all rows hold count little; this also keeps the fit well conditioned
+    rarity = np.log((len(rows) + 1) / (np.bincount(x.column, minlength=x.width) + 0.5)).clip(0)
+    x.value = x.value * rarity[x.column]
     for k in range(n):
         y = np.array([r[f"y{k}"] for r in rows], dtype=float)
         unseen = np.zeros(len(rows))
@@ -207,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         model.chained.append(e)
         model.bounds.append(best_bound(unseen, y))
         extra = np.column_stack([extra, unseen])
-    model.weights = weights
+    model.weights = weights * rarity
     return model
 
 
