@@ -114,3 +114,13 @@ def archive_identity(files: DataFrame) -> DataFrame:
     whole = F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256)
     same = F.count(F.lit(1)) == F.count_distinct("name")
     return named.agg(F.when(same, whole).otherwise(F.raise_error(F.lit("repeated basenames")).cast("string")).alias("identity"))
+
+
+def provenance_hash(df: DataFrame) -> Column:
+    """sha256 of a row as JSON with sorted keys (X27), by this engine's JSON encoding."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+
+
+def dotted(c: Column, path: str, default: str | None = None) -> Column:
+    """A dotted path of a JSON text, or a default (Q17)."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$." + path, "string"), F.lit(default))

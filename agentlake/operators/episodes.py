@@ -132,3 +132,17 @@ def evidence(rows: DataFrame, budget: int) -> DataFrame:
     add = lambda s, x: F.when(s["used"] + x["tokens"] <= budget, F.struct((s["used"] + x["tokens"]).alias("used"), F.concat(s["kept"], F.array(x["order"].cast("int"))).alias("kept"))).otherwise(s)
     packed = mine.withColumn("p", F.aggregate("rest", start, add)).withColumn("over_budget", F.col("need") > budget)
     return packed.select("episode_id", "over_budget", F.when(~F.col("over_budget"), F.col("p.kept")).otherwise(F.array().cast("array<int>")).alias("uncited_kept"), F.when(F.col("over_budget"), F.col("need")).otherwise(F.col("p.used")).alias("tokens"))
+
+
+def preview(kind: Column, ref_valid: Column, value_valid: Column, verdict: Column, answer_correct: Column) -> Column:
+    """{status, score} of a candidate before training (Q10), by fixed precedence: ABSTENTION, ZERO for a malformed report,
+    an invalid path or a fabricated value, UNKNOWN without a verdict, ZERO unsupported, UNKNOWN or ZERO by the answer,
+    else SCORED. ``verdict``: struct of status, path_status, score."""
+    score = verdict["score"]
+    graded = F.coalesce((score > 0) & (score <= 1) & ~F.isnan(score), F.lit(False))
+    status = (
+        F.when(kind == "abstention", "ABSTENTION").when((kind == "malformed") | ~ref_valid | ~F.coalesce(value_valid, F.lit(True)), "ZERO")
+        .when(verdict.isNull() | (verdict["status"] != "ok"), "UNKNOWN").when(verdict["path_status"] == "unsupported", "ZERO").when(answer_correct.isNull(), "UNKNOWN")
+        .when(~answer_correct, "ZERO").when(graded, "SCORED").otherwise("UNKNOWN")
+    )
+    return F.struct(status.alias("status"), F.when(status == "SCORED", score).when(status != "UNKNOWN", 0.0).alias("score"))

@@ -146,3 +146,21 @@ def first_resolved(attempts: DataFrame) -> DataFrame:
 def calibration(cases: DataFrame, need: float) -> DataFrame:
     """Whether enough labelled cases came out right."""
     return cases.agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed")).withColumn("calibrated", F.col("passed") >= need * F.col("n"))
+
+
+def heldout_package(results: DataFrame) -> DataFrame:
+    """Questions and right answers for each policy and checkpoint, over all and by hops (A24): rows policy, checkpoint, hop_type, correct."""
+    rows = results.withColumn("hops", F.substring("hop_type", 1, 4))
+    sets = [[F.col("policy"), F.col("checkpoint")], [F.col("policy"), F.col("checkpoint"), F.col("hops")]]
+    return rows.groupingSets(sets, "policy", "checkpoint", "hops").agg(F.grouping("hops").cast("int").alias("all_hops"), F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("correct"))
+
+
+def gpu_hours(jobs: DataFrame) -> DataFrame:
+    """Upper bound of GPU hours over jobs (gpus, minutes, retries)."""
+    return jobs.agg(F.sum(F.col("gpus") * F.col("minutes") / 60 * (1 + F.col("retries"))).alias("gpu_hours"))
+
+
+def judged_ratio(rows: DataFrame) -> DataFrame:
+    """mean(judge_score) / mean(judge_valid) and the same of agreement (A27); null without a valid verdict."""
+    over = lambda c: F.try_divide(F.avg(c), F.avg("judge_valid")).alias(c)
+    return rows.agg(over("judge_score"), over("agreement"))

@@ -159,3 +159,52 @@ def hash_pick(df: DataFrame, stratum: str, key: str, want: DataFrame | int, seed
     most = want.agg(F.max("want")).first()[0] or 0
     limits = want.select(F.col("stratum").alias(stratum), "want")
     return ranked.filter(F.col("_rank") <= most).join(F.broadcast(limits), stratum).filter("_rank <= want").drop("_rank", "want")
+
+
+def model_label(run: Column, step: Column, hub_id: Column, given: Column, folder: Column) -> Column:
+    """How a result names its model (P17): run/global_step_N, else hub id, else what was given, else the folder."""
+    step_name = F.when(tx.first_present([run]).isNotNull() & step.isNotNull(), F.concat(run, F.lit("/global_step_"), step.cast("string")))
+    return F.coalesce(step_name, tx.first_present([hub_id, given, folder]))
+
+
+def filled_policy(policy: Column, defaults: Mapping[str, str] = {"samples_per_question": "1"}) -> Column:
+    """A policy map with defaults where it says nothing."""
+    base = F.create_map(*(F.lit(x) for kv in defaults.items() for x in kv))
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.coalesce(F.map_contains_key(policy, k), F.lit(False))), F.coalesce(policy, F.create_map().cast("map<string,string>")))
+
+
+def knob_problems(knobs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(name, problem) for every setting (name, value) that breaks its rule (name, kind, low, high, choices) (F21); unknown
+    names are problems as well. All are reported, not the first."""
+    both = knobs.join(rules, "name", "left")
+    number = F.col("value").try_cast("double")
+    numeric = F.col("kind").isin("int", "float")
+    problem = (
+        F.when(F.col("kind").isNull(), "unknown").when((F.col("kind") == "bool") & ~F.lower("value").isin("true", "false", "0", "1"), "not a boolean")
+        .when((F.col("kind") == "int") & ~F.col("value").rlike(r"^[-+]?\d+$"), "not an integer").when((F.col("kind") == "float") & number.isNull(), "not a number")
+        .when(numeric & ((number < F.col("low")) | (number > F.col("high"))), "out of bounds").when((F.col("kind") == "enum") & ~F.array_contains("choices", F.col("value")), "not a choice")
+    )
+    return both.withColumn("problem", problem).filter("problem is not null").select("name", "problem")
+
+
+def indivisible(plans: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows with the pairs (total, part) of columns that don't divide."""
+    found = F.array_compact(F.array(*(F.when(F.col(b).isNull() | (F.col(b) <= 0) | (F.col(a) % F.col(b) != 0), F.lit(f"{a} % {b}")) for a, b in pairs)))
+    return plans.withColumn("indivisible", found)
+
+
+def safe_identifier(c: Column) -> Column:
+    """Whether a dotted name is made of plain identifiers."""
+    return c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}$")
+
+
+def unreached(nodes: DataFrame, probes: DataFrame) -> DataFrame:
+    """Ordered pairs of nodes (node) without a successful probe (src, dst, ok) (J14). Nodes are a cluster's machines."""
+    wanted = nodes.select(F.col("node").alias("src")).join(F.broadcast(nodes.select(F.col("node").alias("dst")))).filter("src <> dst")
+    return wanted.join(probes.filter("ok").select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def owned(tables: DataFrame, properties: DataFrame, owner: str, keep: Sequence[str]) -> DataFrame:
+    """Tables (name) whose property says an owner, but those kept."""
+    mine = properties.filter((F.col("key") == "owner") & (F.col("value") == owner)).select("name")
+    return tables.join(mine, "name", "left_semi").filter(~F.col("name").isin(*keep))
