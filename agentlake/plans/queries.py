@@ -337,12 +337,13 @@ def permutation_p(table):
 
 
 @query("""
-SELECT source, lang, GROUPING(source, lang)::BIGINT AS grain, count(*) AS n, sum(quality)::BIGINT AS correct, sum(1 - toxic)::BIGINT AS answered,
+SELECT coalesce(source, 'all') AS source, coalesce(lang, 'all') AS lang, GROUPING(source, lang)::BIGINT AS grain, count(*) AS n, sum(quality)::BIGINT AS correct, sum(1 - toxic)::BIGINT AS answered,
        round(sum(quality) / count(*)::DOUBLE, 9) AS accuracy, round(coalesce(sum(quality) / nullif(sum(1 - toxic), 0)::DOUBLE, 0), 9) AS among_answered
 FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (source), (lang))""")
 def accuracy_rollup(table):
     rows = table("labels").join(table("documents").select("doc_id", "source", "lang"), "doc_id")
     out = evals.answer_rollup(rows.select("source", "lang", F.col("quality").alias("correct"), (1 - F.col("toxic")).alias("answered")), "source", "lang")
+    out = out.withColumn("source", F.coalesce("source", F.lit("all"))).withColumn("lang", F.coalesce("lang", F.lit("all")))
     return out.withColumn("accuracy", F.round("accuracy", 9)).withColumn("among_answered", F.round("among_answered", 9))
 
 
@@ -377,14 +378,14 @@ def em_decomposition(table):
 
 
 @query("""
-SELECT user_id AS worker, event_type AS kind, GROUPING(user_id, event_type)::BIGINT AS grain, count(*) AS trajectories, count(*) FILTER (value > 34) AS successes FROM events
+SELECT coalesce(user_id::VARCHAR, 'all') AS worker, coalesce(event_type, 'all') AS kind, GROUPING(user_id, event_type)::BIGINT AS grain, count(*) AS trajectories, count(*) FILTER (value > 34) AS successes FROM events
 GROUP BY GROUPING SETS ((), (user_id), (event_type))""")
 def version_rollup(table):
     rows = table("events").select(F.col("event_type").alias("category"), F.col("user_id").alias("version"), F.when(F.col("value") > 34, 1.0).otherwise(0.0).alias("reward"), F.col("event_id").alias("uid"))
     out = evals.training_rollup(rows)
     # category is the first grouping column here, worker the second
     grain = F.when(F.col("grain") == 1, 2).when(F.col("grain") == 2, 1).otherwise(F.col("grain")).cast("long")
-    return out.select(F.col("version").alias("worker"), F.col("category").alias("kind"), grain.alias("grain"), "trajectories", "successes")
+    return out.select(F.coalesce(F.col("version").cast("string"), F.lit("all")).alias("worker"), F.coalesce("category", F.lit("all")).alias("kind"), grain.alias("grain"), "trajectories", "successes")
 
 
 @query("""
@@ -521,10 +522,10 @@ def chunk_text(table):
 @query("""
 WITH c AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER w AS n, count(*) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS seen, sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS k
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id AS worker, max(n) AS calls, arg_max(k, n)::BIGINT AS failures, min(n) FILTER (seen >= 10 AND k > 0.25 * seen) AS tripped_at FROM c GROUP BY 1""")
+SELECT user_id AS worker, max(n) AS calls, arg_max(k, n)::BIGINT AS failures, coalesce(min(n) FILTER (seen >= 10 AND k > 0.25 * seen), -1) AS tripped_at FROM c GROUP BY 1""")
 def failure_window(table):
     rows = table("events").select(F.col("user_id").alias("worker"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
-    return streams.failure_windows(rows, "worker", ["ts", "event_id"], "failed", 20, 10, 0.25)
+    return streams.failure_windows(rows, "worker", ["ts", "event_id"], "failed", 20, 10, 0.25).withColumn("tripped_at", F.coalesce("tripped_at", F.lit(-1)))
 
 
 @query("""
