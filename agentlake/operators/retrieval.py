@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
+from agentlake.operators.order import narrow
 
 MOST_RESULTS, MOST_HITS, MOST_LINES, MOST_NAMES, MOST_CHARS = 20, 40, 400, 250, 32_000
 K1, B = 1.5, 0.75
@@ -36,20 +37,27 @@ def keyword_rank(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.join(asked.select("query_id", "query"), "query").select("query_id", "rank", "doc_id", "score")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """The inverted index: token, doc_id, tf, len. Lower-case runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0))
-    at = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("token"))
+def words(c: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
+
+
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The inverted index: token, doc_id, tf, len; of ``wanted`` tokens (token) only, which then leave the scan alone."""
+    at = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("token"))
+    at = at if wanted is None else at.join(wanted, "token", "left_semi")
     return at.groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 top-k with score > 0 (R1): idf ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.5, b 0.75; ties by doc_id."""
-    index = postings(docs)
-    stats = index.select("doc_id", "len").distinct().agg(F.avg("len").alias("mean"))
-    stats = stats.join(docs.agg(F.count(F.lit(1)).alias("n")))  # a row each
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("token"))
-    hits = index.join(asked.select("token").distinct(), "token", "left_semi")
+    """BM25 top-k with score > 0 (R1): idf ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.5, b 0.75; ties by doc_id.
+
+    The mean length is over documents with words. Only postings of the queries' tokens are grouped and shuffled.
+    """
+    size = F.size(words(F.col("text")))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(size > 0, size)).alias("mean"))  # a row
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("token"))
+    hits = postings(docs, narrow(asked.select("token").distinct(), 100_000))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighed = hits.join(df, "token").join(F.broadcast(stats))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
