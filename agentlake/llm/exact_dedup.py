@@ -86,9 +86,9 @@ def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns."""
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mine = docs.withColumn("_sha", F.sha2(normalised(), 256)).withColumn("_id", F.col("doc_id"))
-    one = Window.partitionBy("_id", "_sha").orderBy("_id")
-    same = F.col("k._id").eqNullSafe(F.col("d._id")) & (F.col("k._sha") == F.col("d._sha"))
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_agentlake_id"), F.col("text_sha256").alias("_agentlake_sha"))
+    mine = docs.withColumn("_agentlake_sha", F.sha2(normalised(), 256)).withColumn("_agentlake_id", F.col("doc_id"))
+    one = Window.partitionBy("_agentlake_id", "_agentlake_sha").orderBy("_agentlake_id")
+    same = F.col("k._agentlake_id").eqNullSafe(F.col("d._agentlake_id")) & (F.col("k._agentlake_sha") == F.col("d._agentlake_sha"))
     left = mine.alias("d").join(kept.alias("k"), same, "left_semi")
-    return left.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    return left.withColumn("_agentlake_n", F.row_number().over(one)).filter("_agentlake_n = 1").select(*docs.columns)

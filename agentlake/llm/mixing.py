@@ -98,9 +98,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
     before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     sources = sources.withColumn("base", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
     sources = materialise(sources, "sources")
-    small = narrow(sources.select("src", F.col("source").alias("_source"), "base", "length", "blocks", "slots"), 100_000)
+    small = narrow(sources.select("src", F.col("source").alias("_agentlake_source"), "base", "length", "blocks", "slots"), 100_000)
 
-    numbered = sized.join(small.select("src", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    numbered = sized.join(small.select("src", "_agentlake_source"), F.col("source").eqNullSafe(F.col("_agentlake_source"))).drop("source", "_agentlake_source")
     rows = with_prefix(numbered, ["src", "doc_id", "size"], "size", "by_source").join(small.select("src", "base", "length"), "src")
     rows = rows.select("row_index", "doc_id", "src", "size", (F.col("prefix") - F.col("base")).alias("start"), "length")
     first, last = F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length"))
@@ -128,11 +128,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options)
     times = m.slots.groupBy("src", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     first = m.spans.filter("first_word = 0 and block is not null").select("doc_id", "size", "src", "block")
-    drawn = first.join(times.hint("merge"), ["src", "block"]).join(m.sources.select("src", F.col("source").alias("_source")), "src")
-    drawn = drawn.groupBy(F.col("doc_id").alias("_id"), "_source", F.col("size").alias("_size")).agg(F.sum("times").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    drawn = first.join(times.hint("merge"), ["src", "block"]).join(m.sources.select("src", F.col("source").alias("_agentlake_source")), "src")
+    drawn = drawn.groupBy(F.col("doc_id").alias("_agentlake_id"), "_agentlake_source", F.col("size").alias("_agentlake_size")).agg(F.sum("times").alias("_agentlake_sum"), F.count(F.lit(1)).alias("_agentlake_rows"))
     # repeated rows (same id, source and size) share what they draw
-    drawn = drawn.select("_id", "_source", "_size", F.greatest(F.lit(1), F.round(F.col("_sum") / F.col("_rows"))).cast("int").alias("_times"))
-    sized = docs.withColumn("_words", word_count())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    drawn = drawn.select("_agentlake_id", "_agentlake_source", "_agentlake_size", F.greatest(F.lit(1), F.round(F.col("_agentlake_sum") / F.col("_agentlake_rows"))).cast("int").alias("_agentlake_times"))
+    sized = docs.withColumn("_agentlake_words", word_count())
+    same = F.col("doc_id").eqNullSafe(F.col("_agentlake_id")) & F.col("source").eqNullSafe(F.col("_agentlake_source")) & (F.col("_agentlake_words") == F.col("_agentlake_size"))
     both = sized.join(drawn.hint("merge"), same)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return both.withColumn("_agentlake_copy", F.explode(F.sequence(F.lit(1), F.col("_agentlake_times")))).select(*docs.columns)

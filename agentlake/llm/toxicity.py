@@ -252,5 +252,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the chain's last category doesn't hold, with their own columns, in one pass."""
-    rows = docs.select("*", F.col("text").cast("string").alias("_text_to_score"))
+    rows = docs.select("*", F.col("text").cast("string").alias("_agentlake_text_to_score"))
     return rows.mapInArrow(partial(_scored, model=model, keep=True), docs.schema)
