@@ -4,8 +4,9 @@ A document's set is that of its distinct 5-word shingles. A register is max(floo
 exponentially distributed hashes x, cut to 0..LIMIT: registers of unions are maxima, and equal registers are as
 likely as the sets are similar. Documents of equal sets form a class at once; one row per class goes on. Bands of
 registers deal classes to buckets. Each bucket links its members to its least one, which is enough for groups of
-copies of any size; members of a bucket that are still in different components after that are then compared pair
-by pair, so no link within a bucket is lost and no bucket emits all its pairs.
+copies of any size. Members of a bucket that are still in different components after that are compared in pairs, so
+no link within a bucket is lost. Before pairs are made, shingles that no other open document holds are counted: they
+bound what a document can share, and rule out most of a group whose members differ too much to be linked.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.llm.components import components
-from agentlake.llm.shared import materialise
+from agentlake.llm.shared import materialise, narrow
 from agentlake.llm.words import U, WordHashes, blocks, mixed, raw_texts, shingle_sets
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
+#: Ids of candidates are broadcast to the text scan up to this many (counted); beyond, texts are shuffled to them.
+IDS_AT_ONCE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -135,7 +138,7 @@ def _sets(settings: Settings):
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 sets = shingle_sets(texts, hashes, settings.words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return run
 
@@ -145,7 +148,7 @@ def _verified(settings: Settings):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                s, t = (z.values.to_numpy().view(np.uint64) for z in (x, y))
                 if len(s) > len(t):
                     s, t = t, s
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
@@ -157,20 +160,49 @@ def _verified(settings: Settings):
     return run
 
 
+def shingle_table(ids: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """(id, shingles) of the documents with these ids, from their whole texts."""
+    texts = docs.join(narrow(ids.select(F.col("id").alias("doc_id")), IDS_AT_ONCE), "doc_id", "left_semi").select("doc_id", "text")
+    return materialise(texts.mapInArrow(_sets(settings), "id long, shingles array<bigint>"), "sets")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """Of candidate ``pairs`` (a, b) those that are links: first by the likelihood of their registers, then on full sets."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
     likely = materialise(both.mapInArrow(_likely(settings), "a long, b long"), "likely")
-    need = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    # one row for each id: a repeated doc_id of other text is the class of its own least row only
-    texts = docs.join(need, docs["doc_id"] == need["id"], "left_semi").select("doc_id", "text")
-    sets = materialise(texts.mapInArrow(_sets(settings), "id long, shingles binary"), "sets")
+    need = materialise(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "need")
+    sets = shingle_table(need, docs, settings)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
     found = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(settings), "a long, b long")
     return found.distinct()
 
 
+def open_pairs(told: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of one bucket, but different components so far, that can still be links.
+
+    ``told``: bucket, id, n, c. A document with u shingles that no other open document holds shares at most n - u with
+    any of them. Documents whose bound rules out even their bucket's smallest member leave before pairs are made.
+    """
+    p = settings.percent
+
+    def several(rows: DataFrame) -> DataFrame:
+        heads = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.col("n")).alias("n_min")).filter("low <> high")
+        return rows.join(heads.select("bucket", "n_min"), "bucket")
+
+    open_ = materialise(several(told), "open")
+    sets = shingle_table(materialise(open_.select("id").distinct(), "open_ids"), docs, settings)
+    once = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("id")).filter("held = 1")
+    own = once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    left = open_.join(own, "id", "left").select("bucket", "id", "n", "c", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"), "n_min")
+    fits = lambda most, n, m: 100 * most >= p * (n + m - most)
+    left = left.filter(fits(F.col("most"), F.col("n"), F.least(F.col("n_min"), F.col("n")))).drop("n_min")
+    left = materialise(several(left).drop("n_min"), "left")
+    x, y = left.toDF("bucket", "a", "n_a", "c_a", "most_a"), left.toDF("bucket", "b", "n_b", "c_b", "most_b")
+    can = (p * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & fits(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"))
+    return x.join(y, "bucket").filter((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & can).select("a", "b").distinct()
+
+
 def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -193,14 +225,8 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links = materialise(confirm(to_head, classes, texts, settings), "links")
     labels = components(links)
 
-    # members of a bucket whose components differ still: compare them pair by pair
     told = shared.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed_up = told.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    open_ = materialise(told.join(mixed_up, "bucket"), "open")
-    x, y = open_.toDF("bucket", "a", "n_a", "c_a"), open_.toDF("bucket", "b", "n_b", "c_b")
-    ratio = settings.percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-    rest = x.join(y, "bucket").filter((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & ratio).select("a", "b").distinct()
-    rest = rest.join(to_head, ["a", "b"], "left_anti")
+    rest = materialise(open_pairs(told, texts, settings).join(to_head, ["a", "b"], "left_anti"), "rest")
     more = materialise(confirm(rest, classes, texts, settings), "more")
     if more.limit(1).count():
         labels = components(links.union(more))
