@@ -5,8 +5,9 @@ exponentially distributed hashes x, cut to 0..LIMIT: registers of unions are max
 likely as the sets are similar. Documents of equal sets form a class at once; one row per class goes on. Bands of
 registers deal classes to buckets. Each bucket links its members to its least one, which is enough for groups of
 copies of any size. Members of a bucket that are still in different components after that are compared in pairs, so
-no link within a bucket is lost. Before pairs are made, shingles that no other open document holds are counted: they
-bound what a document can share, and rule out most of a group whose members differ too much to be linked.
+no link within a bucket is lost. Before that, shingles that no other open document holds are counted: they bound what
+a document can share, and rule out most of a group whose members differ too much to be linked. Small buckets then
+emit pairs; large ones are compared block by block where they lie, and emit links only.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from agentlake.llm.words import U, WordHashes, blocks, mixed, raw_texts, shingle
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Ids of candidates are broadcast to the text scan up to this many (counted); beyond, texts are shuffled to them.
 IDS_AT_ONCE = 2_000_000
+#: Members up to which a bucket emits pairs, and members in a block of a larger one (two blocks bound a task's memory).
+SMALL_BUCKET, BLOCK = 64, 256
+#: Shingles compared at once by a pair of blocks.
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -178,17 +183,59 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Set
     return found.distinct()
 
 
-def open_pairs(told: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) of one bucket, but different components so far, that can still be links.
+def _compared(settings: Settings):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of two blocks of a bucket (or within one), one for each pair of components they join."""
+        ids, c, n, block = (table[k].to_numpy() for k in ("id", "c", "n", "block"))
+        across = table["low"][0].as_py() != table["high"][0].as_py()
+        sets = [x.values.to_numpy() for x in table["shingles"].combine_chunks()]
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shared, at, held = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = held[at] > 1  # a shingle of one document counts in no intersection
+        at, owner = (np.cumsum(held > 1) - 1)[at[keep]], owner[keep]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for first in range(0, int((held > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            part[owner[a:b], at[a:b] - first] = 1
+            both += part @ part.T
+        linked = 100 * both >= settings.percent * (n[:, None] + n[None, :] - both)
+        linked &= (c[:, None] != c[None, :]) & (ids[:, None] > ids[None, :])
+        if across:
+            linked &= block[:, None] != block[None, :]
+        parent: dict = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out: list[list] = [[], []]
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = root(c[i]), root(c[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out[0].append(int(ids[i]))
+                out[1].append(int(ids[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def open_links(told: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components within buckets.
 
     ``told``: bucket, id, n, c. A document with u shingles that no other open document holds shares at most n - u with
-    any of them. Documents whose bound rules out even their bucket's smallest member leave before pairs are made.
+    any of them. Documents whose bound rules out even their bucket's smallest member leave before pairs are made. The
+    comparison of a large bucket costs the square of what is left of it, dealt over tasks by pairs of blocks.
     """
     p = settings.percent
 
     def several(rows: DataFrame) -> DataFrame:
-        heads = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.col("n")).alias("n_min")).filter("low <> high")
-        return rows.join(heads.select("bucket", "n_min"), "bucket")
+        heads = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("n_min"), F.count(F.lit(1)).alias("members")).filter("low <> high")
+        return rows.join(heads.select("bucket", "n_min", "members"), "bucket")
 
     open_ = materialise(several(told), "open")
     sets = shingle_table(materialise(open_.select("id").distinct(), "open_ids"), docs, settings)
@@ -198,9 +245,19 @@ def open_pairs(told: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
     fits = lambda most, n, m: 100 * most >= p * (n + m - most)
     left = left.filter(fits(F.col("most"), F.col("n"), F.least(F.col("n_min"), F.col("n")))).drop("n_min")
     left = materialise(several(left).drop("n_min"), "left")
-    x, y = left.toDF("bucket", "a", "n_a", "c_a", "most_a"), left.toDF("bucket", "b", "n_b", "c_b", "most_b")
+
+    few = left.filter(F.col("members") <= SMALL_BUCKET).drop("members")
+    x, y = few.toDF("bucket", "a", "n_a", "c_a", "most_a"), few.toDF("bucket", "b", "n_b", "c_b", "most_b")
     can = (p * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & fits(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"))
-    return x.join(y, "bucket").filter((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & can).select("a", "b").distinct()
+    pairs = x.join(y, "bucket").filter((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & can).select("a", "b").distinct()
+    found = confirm(materialise(pairs, "pairs"), classes, docs, settings)
+
+    many = left.filter(F.col("members") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
+    with_each = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = with_each.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "c", "n", "shingles")
+    compared = dealt.groupBy("bucket", "low", "high").applyInArrow(_compared(settings), "a long, b long")
+    return found.unionByName(compared)
 
 
 def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -226,8 +283,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     labels = components(links)
 
     told = shared.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
-    rest = materialise(open_pairs(told, texts, settings).join(to_head, ["a", "b"], "left_anti"), "rest")
-    more = materialise(confirm(rest, classes, texts, settings), "more")
+    more = materialise(open_links(told, classes, texts, settings), "more")
     if more.limit(1).count():
         labels = components(links.union(more))
 

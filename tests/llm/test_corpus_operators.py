@@ -453,3 +453,22 @@ def test_url_filter(spark):
     index = url_filter.file_rules(url_filter.parts(df.select("page_id", "url")), url_filter.SITE_RULES + url_filter.PATTERN_RULES)
     joined = {g["page_id"]: (g["rule"], g["verdict"], g["matched"]) for g in url_filter._judge_by_join(url_filter.parts(df.select("page_id", "url")), index, "allow").collect()}
     assert joined == {i: (g["rule"], g["verdict"], g["matched"]) for i, g in got.items()} and url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_near_dedup_blocks(spark, monkeypatch):
+    """A family of many close texts, some linked and some not, by pairs and block by block."""
+    r = random.Random(9)
+    base = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = "".join(r.choices("xyz", k=7))
+        texts.append((i, " ".join(w)))
+    want = {i: v[1] for i, v in near_brute(texts).items()}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for small, block in ((64, 256), (1, 7), (1, 256)):
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {g["doc_id"]: g["component_id"] for g in near_dedup.near_dedup(df).collect()} == want
+    assert 1 < len(set(want.values())) < 140
