@@ -11,9 +11,11 @@ their rank.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
@@ -32,24 +34,55 @@ CAPACITY, END = 4096, 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The model's letter for each byte: printable ones are themselves, the others follow from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Chunks remembered by a Python worker.
+MOST_CHUNKS = 500_000
+#: Marks between an ASCII letter and white space: a run of them is a pre-token of its own.
+MARKS = re.compile(rb"(?<=[a-z])[.,;:!?*$%&#|]+(?=[\x09-\x0d\x20]|\Z)")
+
+
+def chunks(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes independently: white-space delimited, A-Z in lower case (as it does
+    itself, but for its special tokens), with marks after a word parted from it. Fewer distinct parts, the same ids."""
+    return MARKS.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split()
+
+
 class Encoded(dict):
-    """White-space delimited chunk -> its token ids as little-endian 32-bit bytes, remembered up to a bound.
+    """Chunk -> its token ids as little-endian 32-bit bytes, remembered up to a bound.
 
-    The tokenizer drops white space and never joins tokens over it, so a text's ids are its chunks' ids in turn.
+    A chunk of small Latin letters is one pre-token that normalisation leaves alone, so the model alone encodes it. Other
+    unknown chunks of a block of texts go through the whole tokenizer together, each token to the chunk its offset lies in.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= 128:
-            if len(self) > 300_000:
-                self.clear()
-            self[chunk] = out
-        return out
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = list(map(chunks, texts))
+        distinct = set().union(*parts)
+        new = list(distinct.difference(self))
+        if len(self) + len(new) > MOST_CHUNKS:
+            self.clear()
+            new = list(distinct)
+        other = []
+        for w in new:
+            text = w.decode("utf-8")
+            if text.isalpha() and text.islower() and (text.isascii() or max(text) < "\u0250"):
+                shown = text if text.isascii() else w.decode("latin-1").translate(SHOWN)
+                self[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            else:
+                other.append((w, text))
+        for at in range(0, len(other), 20_000):
+            part, words = zip(*other[at : at + 20_000], strict=True)
+            starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            first = 4 * np.searchsorted(np.array([o[0] for o in found.offsets], dtype=np.int64), np.append(starts, 1 << 60))
+            self.update((w, ids[a:b]) for w, a, b in zip(part, first[:-1].tolist(), first[1:].tolist(), strict=True))
+        return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
 def encoder(path: str) -> Encoded:
@@ -74,8 +107,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int)
     for batch in batches:
         for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(ids, texts, strict=True):
-                tokens = b"".join(map(encoded.__getitem__, (text or b"").split())) + end
+            for doc_id, tokens in zip(ids, encoded.encode([t or b"" for t in texts]), strict=True):
+                tokens += end
                 for piece, at in enumerate(range(0, len(tokens), step)):
                     cut = tokens[at : at + step]
                     for column, value in zip(out, (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
