@@ -2,9 +2,10 @@
 
 Equal lines (spaces at the ends and A-Z case aside) collapse first. A distinct line's signature is one-permutation
 MinHash over its character shingles, empty bins taking the value of the next full one. Bands of bins deal lines to
-buckets; a bucket links its lines to its least one, the links are verified on full shingle sets, and of each
-component's lines the first (smallest doc_id, then line number) stays. Lines of fewer characters than two shingles
-count as copies only if equal.
+buckets; a bucket links its lines to its least one, and the links are verified on full shingle sets. Members of a
+bucket that are still in different components after that are compared with each other, large buckets block by block,
+so no link within a bucket is lost. Of each component's lines the first (smallest doc_id, then line number) stays.
+Lines of fewer characters than two shingles count as copies only if equal.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,11 @@ from agentlake.llm.components import components
 from agentlake.llm.shared import materialise, narrow
 from agentlake.llm.words import U, blocks, mixed, raw_texts
 
+#: Members and bytes up to which a bucket is compared whole; of a larger one, at most about so many are in a block.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 512, 250_000
+#: Shingles compared at once by a pair of blocks.
+COLUMNS = 4096
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -125,6 +132,83 @@ def _verified(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
+def _shared(h: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """(count, count): how many of the distinct shingles ``h`` two owners both hold."""
+    both = np.zeros((count, count), dtype=np.int64)
+    _, at, held = np.unique(h, return_inverse=True, return_counts=True)
+    keep = held[at] > 1  # a shingle of one line counts in no intersection
+    at, owner = (np.cumsum(held > 1) - 1)[at[keep]], owner[keep]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    several = int((held > 1).sum())
+    for first in range(0, several, COLUMNS):
+        a, b = np.searchsorted(at, [first, first + COLUMNS])
+        part = np.zeros((count, min(COLUMNS, several - first)), dtype=np.float32)
+        part[owner[a:b], at[a:b] - first] = 1
+        both += (part @ part.T).astype(np.int64)
+    return both
+
+
+def _compared(settings: Settings):
+    def run(table: pa.Table) -> pa.Table:
+        """Links within each bucket of ``table`` (whole small ones, or two blocks of a large one), one for each pair of components they join."""
+        table = table.sort_by("bucket")
+        bucket, ids, c, block = (table[k].to_numpy() for k in ("bucket", "line", "c", "block"))
+        across = table["low"][0].as_py() != table["high"][0].as_py()
+        h, owner, _ = shingles(table["text"].to_pylist(), settings.characters)
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
+        size = np.bincount(owner, minlength=len(ids))
+        parent: dict = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out: list[list] = [[], []]
+        for a, b in pairwise(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()):
+            first, last = np.searchsorted(owner, [a, b])
+            both = _shared(h[first:last], owner[first:last] - a, b - a)
+            n, part, i_c, i_block = size[a:b], ids[a:b], c[a:b], block[a:b]
+            linked = 100 * both >= settings.percent * np.maximum(1, n[:, None] + n[None, :] - both)
+            linked &= (i_c[:, None] != i_c[None, :]) & (part[:, None] > part[None, :])
+            if across:
+                linked &= i_block[:, None] != i_block[None, :]
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = root(i_c[i]), root(i_c[j])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out[0].append(int(part[i]))
+                    out[1].append(int(part[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def open_links(told: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components within buckets.
+
+    ``told``: bucket, line, c. ``found``: line, text. Both lines of a bucket of two have been compared. Small buckets are
+    dealt over tasks several at a time; the comparison of a large one costs its square, dealt by pairs of blocks.
+    """
+    heads = told.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high and members > 2")
+    open_ = materialise(told.join(heads.select("bucket"), "bucket").join(found, "line").select("bucket", "line", "c", "text"), "open")
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("size"))
+    sizes = sizes.withColumn("small", (F.col("members") <= SMALL_BUCKET) & (F.col("size") <= BLOCK_BYTES))
+    sizes = materialise(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")), "sizes")
+    groups = 1 + (sizes.filter("small").agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES
+    rows = open_.join(sizes, "bucket")
+    few = rows.filter("small").select(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("deal"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), "bucket", "line", "c", F.lit(0).alias("block"), "text")
+    many = rows.filter("not small").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    with_each = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = with_each.select(F.col("bucket").alias("deal"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "bucket", "line", "c", "block", "text")
+    return few.unionByName(dealt).groupBy("deal", "low", "high").applyInArrow(_compared(settings), "a long, b long")
+
+
 def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, line_no (from 0), line (hash), component, kept for every line with text of ``docs`` (doc_id, text).
 
@@ -136,7 +220,8 @@ def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     # a line comes once for each block of texts that holds it
     banded = materialise(texts.mapInArrow(partial(_bands, settings=settings), "bucket long, line long"), "bands")
     heads = banded.groupBy("bucket").agg(F.min("line").alias("head"), F.max("line").alias("last")).filter("head <> last").select("bucket", "head")
-    pairs = banded.join(heads, "bucket").filter("line <> head").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
+    shared = materialise(banded.join(heads, "bucket").distinct(), "shared")
+    pairs = shared.filter("line <> head").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     need = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "need")
     found = texts.mapInArrow(_texts, "line long, text binary").join(narrow(need, 1_000_000), "line", "left_semi")
@@ -145,6 +230,10 @@ def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     links = materialise(both.mapInArrow(partial(_verified, settings=settings), "a long, b long"), "links")
     label = components(links).withColumnRenamed("id", "line")
+    told = shared.join(label, "line", "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
+    more = materialise(open_links(told, found, settings), "more")
+    if more.limit(1).count():
+        label = components(links.union(more)).withColumnRenamed("id", "line")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     firsts = lines.groupBy("line").agg(F.min(place).alias("first")).join(label, "line", "left")
     firsts = firsts.select("line", "first", F.coalesce("component", "line").alias("component"))

@@ -269,6 +269,25 @@ def test_line_dedup(spark, none):
     assert out.count() == len(rows) and out.columns == df.columns and line_dedup.line_decisions(none).count() == 0 and line_dedup.document_lines(none).count() == 0
 
 
+@pytest.mark.parametrize(("pairs", "block"), [(20, 512), (300, 150)])
+def test_line_dedup_within_a_family(spark, monkeypatch, pairs, block):
+    """Lines of one template resemble each other at about 83 %, so they share buckets, but only pairs inside are copies."""
+    r = random.Random(7)
+    chars = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    head, middle, tail = chars(200), chars(60), chars(120)
+    lines = []
+    for _ in range(pairs):
+        own = chars(8)
+        lines += [head + own + middle + chars(18) + tail, head + own + middle + chars(18) + tail]
+    sets = [{x[a : a + 7] for a in range(len(x) - 6)} for x in lines]
+    alike = [(a, b) for b in range(len(lines)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert alike == [(2 * k, 2 * k + 1) for k in range(pairs)]
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {g["doc_id"]: g["kept"] for g in line_dedup.line_decisions(docs).collect()}
+    assert got == {i: i % 2 == 0 for i in range(len(lines))}
+
+
 def shingles(text):
     w = lowered(text).encode().split()
     return {tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
