@@ -34,9 +34,13 @@ HINTS = frozenset(
     "discussion disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
     "related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
-RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template|svg|math|object|canvas|video|audio"
+#: Elements left out with all they hold, up to their first end tag. Without one, those of SCRIPT reach to the end of the
+#: page, as in browsers; a self-closing or unclosed one of the others holds nothing.
+SCRIPT = frozenset(("script", "style"))
+RAW = SCRIPT | frozenset("textarea title xmp iframe noembed noframes noscript template svg object canvas video audio".split())
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
@@ -80,7 +84,8 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         del stack[at:]
 
     at = 0
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()  # names of RAW without an end tag in the rest of the page
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if links > 0:
@@ -89,6 +94,14 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in RAW and not m["end"] and (tag in SCRIPT or not m["attrs"].endswith("/")):
+            if tag not in unclosed and (close_tag := ENDS[tag].search(page, at)):
+                at = close_tag.end()
+                continue
+            if tag in SCRIPT:
+                at = len(page)
+                continue
+            unclosed.add(tag)
         block = tag in BLOCK
         if block:
             flush()
@@ -109,7 +122,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag not in VOID and tag not in RAW and not m["attrs"].endswith("/"):
             around = stack[-1] if stack else ("", False, False)
             says = _says(tag, m["attrs"])
             stack.append((tag, around[1] or says[0], around[2] or says[1]))

@@ -209,6 +209,16 @@ def test_html_text(spark, none):
     assert html_text.extract(df).count() == 8 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_elements_left_out_end_where_they_end():
+    said = lambda page: html_text.main_text(page, html_text.trained_tree())
+    for x in ("<svg/>", "<svg width='1' />", "<object data='a'/>", "<video-js></video-js>", "<svg-icon>", "<audio-player/>", "<title-bar>", "<video src=a>", "<title>", "<canvas>" * 3):
+        assert said(f"<article><p>One.</p>{x}<p>Two.</p></article>") == "One.\nTwo.", x
+    assert said("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
+    for x in ("<svg><text>no</text></svg>", "<SCRIPT>no</script >", "<object data=a>no</object>", "<title>no</title>", "<style/>no</style>"):
+        assert said(f"<article><p>One.</p>{x}<p>Two.</p></article>") == "One.\nTwo.", x
+    assert said("<article><p>One.</p><script>no <p>Two.</p></article>") == "One."
+
+
 def test_html_tree_on_other_pages():
     """Held-out pages of other make: what is marked * is main text."""
     r = random.Random(4)
