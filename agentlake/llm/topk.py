@@ -31,10 +31,15 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.Reco
         for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if vec_id is None or vector is None or any(x is None for x in vector):
                 continue
-            x = np.floor(scale * np.array(vector, dtype=float))
-            if np.isfinite(x).all() and (np.abs(x) < 2**62).all():
-                ids.append(vec_id)
-                out.append(x.astype("<i8").tobytes())
+            vector = np.array(vector, dtype=float)
+            if not np.isfinite(vector).all():
+                continue
+            with np.errstate(over="ignore"):
+                x = np.floor(scale * vector)
+            if not (np.abs(x) < 2**62).all():
+                raise OverflowError("a finite component may leave 64 bits as an integer")
+            ids.append(vec_id)
+            out.append(x.astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 

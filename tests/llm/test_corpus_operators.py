@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,14 @@ def test_top_k(spark):
     assert topk.products(*big)[0, 0] == 2**60 + 1
 
 
+@pytest.mark.parametrize("x", [2.0**54, -1e300, 1e308])
+def test_top_k_drops_no_finite_vector(x):
+    made = lambda v: list(topk._integers(iter([pa.RecordBatch.from_arrays([pa.array([0, 50]), pa.array([[1.0], [v]])], ["vec_id", "embedding"])]), 256))
+    with pytest.raises(OverflowError):
+        made(x)
+    assert made(2.0**53)[0].num_rows == 2 and made(float("inf"))[0].num_rows == made(float("nan"))[0].num_rows == made(None)[0].num_rows == 1
+
+
 def test_top_k_prunes(spark):
     """Tight cells far apart: bounds keep most data away, results stay exact."""
     r = np.random.default_rng(5)
