@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.llm.components import components
-from agentlake.llm.shared import materialise, narrow
-from agentlake.llm.words import U, WordHashes, blocks, mixed, raw_texts, shingle_sets
+from agentlake.llm.shared import hot_join, materialise, narrow
+from agentlake.llm.words import U, mixed, shingle_sets, text_blocks
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Ids of candidates are broadcast to the text scan up to this many (counted); beyond, texts are shuffled to them.
@@ -92,16 +92,15 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
 
 def _features(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                sets = shingle_sets(texts, hashes, settings.words)
+            for ids, texts in text_blocks(batch):
+                sets = shingle_sets(texts, settings.words)
                 regs = registers(sets, settings.bands * settings.rows)
                 with np.errstate(over="ignore"):
                     one = [int(s.sum().astype(np.int64)) if len(s) else 0 for s in sets]
                     two = [int(mixed(s).sum().astype(np.int64)) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
                     ["doc_id", "n", "set_1", "set_2", "regs"],
                 )
 
@@ -139,11 +138,10 @@ def _likely(settings: Settings):
 
 def _sets(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                sets = shingle_sets(texts, hashes, settings.words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+            for ids, texts in text_blocks(batch):
+                sets = shingle_sets(texts, settings.words)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return run
 
@@ -271,9 +269,9 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     features = materialise(texts.mapInArrow(_features(settings), "doc_id long, n long, set_1 long, set_2 long, regs binary"), "features")
     same = ["n", "set_1", "set_2"]
     full = features.filter("n > 0 and doc_id is not null")
-    least = full.groupBy(*same).agg(F.min("doc_id").alias("id"))
+    least = materialise(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), "least")
     regs = full.select(F.col("doc_id").alias("id"), *same, "regs")
-    classes = materialise(regs.join(least, [*same, "id"]).dropDuplicates(["id", *same]).select("id", *same, "regs"), "classes")
+    classes = materialise(regs.join(least.drop("members"), [*same, "id"]).dropDuplicates(["id", *same]).select("id", *same, "regs"), "classes")
 
     banded = materialise(classes.select("id", "n", "regs").mapInArrow(_bands(settings), "bucket long, id long, n long"), "bands")
     heads = banded.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket", "head")
@@ -287,6 +285,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if more.limit(1).count():
         labels = components(links.union(more))
 
-    named = least.join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = features.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = least.join(labels, "id", "left").select(*same, "members", F.coalesce("component", "id").alias("component"))
+    out = hot_join(features.select("doc_id", *same), named, same, "members")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -11,7 +11,7 @@ their rank.
 
 from __future__ import annotations
 
-import re
+import json
 import sys
 import types
 import zlib
@@ -20,15 +20,17 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlake.llm.shared import materialise, with_prefix
-from agentlake.llm.words import blocks, raw_texts
+from agentlake.llm.words import text_blocks
 
 CAPACITY, END = 4096, 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,42 +39,54 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The model's letter for each byte: printable ones are themselves, the others follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: Chunks remembered by a Python worker.
-MOST_CHUNKS = 500_000
+#: About the most bytes that a Python worker remembers chunks in, and what an entry takes beside its letters and ids.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 180
 #: Marks between an ASCII letter and white space: a run of them is a pre-token of its own.
-MARKS = re.compile(rb"(?<=[a-z])[.,;:!?*$%&#|]+(?=[\x09-\x0d\x20]|\Z)")
+MARKS = r"([a-z])([.,;:!?*$%&#|]+)([\x09-\x0d\x20]|\z)"
+#: The normaliser and pre-tokenizer for which the parts below are encoded independently.
+LOWERING = ["NFC", "Replace", "Lowercase"]
+PRE_TOKENS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-def chunks(text: bytes) -> list[bytes]:
-    """Parts of a text that the tokenizer encodes independently: white-space delimited, A-Z in lower case (as it does
-    itself, but for its special tokens), with marks after a word parted from it. Fewer distinct parts, the same ids."""
-    return MARKS.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split()
+def parts(texts: pa.Array) -> pa.Array:
+    """Lists of the parts of texts that such a tokenizer encodes independently: white-space delimited, A-Z in lower case (as
+    it does itself, but for its special tokens), with marks after a word parted from it. Fewer distinct parts, the same ids."""
+    special = pc.match_substring(texts, "<|")
+    low = pc.ascii_lower(texts)
+    if pc.any(special).as_py():
+        low = pc.if_else(special, texts, low)
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(low, MARKS, r"\1 \2\3"))
 
 
 class Encoded(dict):
-    """Chunk -> its token ids as little-endian 32-bit bytes, remembered up to a bound.
+    """Chunk -> its token ids as little-endian 32-bit bytes, remembered up to a bound in bytes.
 
     A chunk of small Latin letters is one pre-token that normalisation leaves alone, so the model alone encodes it. Other
     unknown chunks of a block of texts go through the whole tokenizer together, each token to the chunk its offset lies in.
+    A tokenizer with other rules encodes each text as a whole.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = list(map(chunks, texts))
-        distinct = set().union(*parts)
-        new = list(distinct.difference(self))
-        if len(self) + len(new) > MOST_CHUNKS:
-            self.clear()
-            new = list(distinct)
-        other = []
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.held = self.tokenizer.model, 0
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lowering = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
+        self.by_chunk = lowering == LOWERING and (steps[0].get("pattern") or {}).get("Regex") == PRE_TOKENS
+
+    def learn(self, new: list[bytes]) -> None:
+        other, tokenize = [], self.model.tokenize
         for w in new:
-            text = w.decode("utf-8")
-            if text.isalpha() and text.islower() and (text.isascii() or max(text) < "\u0250"):
-                shown = text if text.isascii() else w.decode("latin-1").translate(SHOWN)
-                self[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if w.isalpha() and w.islower():  # ASCII letters
+                self[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+                continue
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and text.islower() and max(text) < "\u0250":
+                self[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(SHOWN))]).tobytes()
             else:
                 other.append((w, text))
         for at in range(0, len(other), 20_000):
@@ -82,16 +96,32 @@ class Encoded(dict):
             ids = np.array(found.ids, dtype="<u4").tobytes()
             first = 4 * np.searchsorted(np.array([o[0] for o in found.offsets], dtype=np.int64), np.append(starts, 1 << 60))
             self.update((w, ids[a:b]) for w, a, b in zip(part, first[:-1].tolist(), first[1:].tolist(), strict=True))
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+        self.held += sum(len(w) + len(self[w]) + ENTRY_BYTES for w in new)
+
+    def encode(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of all texts in one buffer, and where in it each text's begin (with the last one's end)."""
+        if not self.by_chunk:
+            each = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts.to_pylist()]
+            return memoryview(b"".join(each)), [0, *np.cumsum([len(x) for x in each]).tolist()]
+        found = parts(texts)
+        coded = found.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        self.learn([w for w in distinct if w not in self])
+        ids = pa.array(list(map(self.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        _, offsets, values = ids.buffers()
+        upto = np.frombuffer(offsets, dtype=np.int64)[ids.offset :] if len(ids) else np.zeros(1, np.int64)
+        at = found.offsets.to_numpy() - found.offsets[0].as_py()
+        return memoryview(values if values is not None else b""), upto[at].tolist()
 
 
 def encoder(path: str) -> Encoded:
     """One for each Python worker, kept from task to task."""
     kept = sys.modules.setdefault("agentlake_worker_state", types.ModuleType("agentlake_worker_state")).__dict__
     if ("encoded", path) not in kept:
-        from tokenizers import Tokenizer
-
-        kept["encoded", path] = Encoded(Tokenizer.from_file(path))
+        kept["encoded", path] = Encoded(path)
     return kept["encoded", path]
 
 
@@ -105,15 +135,20 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int)
     encoded = encoder(path or default_vocabulary())
     end, step = np.array([END], dtype="<u4").tobytes(), 4 * capacity
     for batch in batches:
-        for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+        for ids, texts in text_blocks(batch):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, tokens in zip(ids, encoded.encode([t or b"" for t in texts]), strict=True):
-                tokens += end
-                for piece, at in enumerate(range(0, len(tokens), step)):
-                    cut = tokens[at : at + step]
-                    for column, value in zip(out, (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+            tokens, edges = encoded.encode(pc.fill_null(texts, ""))
+            for doc_id, (first, last) in zip(ids.to_pylist(), pairwise(edges), strict=True):
+                size = last - first + len(end)
+                for piece, at in enumerate(range(0, size, step)):
+                    stop = min(at + step, size)
+                    crc = zlib.crc32(tokens[first + at : min(first + stop, last)])
+                    if stop == size:
+                        crc = zlib.crc32(end, crc)
+                    for column, value in zip(out, (doc_id, piece, at // 4, (stop - at) // 4, crc), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    pa.default_memory_pool().release_unused()
 
 
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -225,13 +260,13 @@ def placed(places: np.ndarray):
     return at
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = 256, small: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = 1024, small: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of ``docs``.
 
     Null and empty texts are one piece of the end token alone. Repeated rows are rows of their own; an empty table gives
-    no rows. ``small``: greatest length that counts as small (an eighth of the capacity unless given).
+    no rows. ``small``: greatest length that counts as small (a quarter of the capacity unless given).
     """
-    small = small or max(1, capacity // 8)
+    small = small or max(1, capacity // 4)
     pieces = materialise(tokenised(docs, path, capacity), "pieces")
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < capacity).withColumn("_down", -F.col("length"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -13,16 +14,6 @@ U = np.uint64
 BLOCK_BYTES = 4 << 20
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -30,34 +21,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def raw_texts(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of each text without decoding; null stays None."""
-    return column.cast(pa.large_binary()).to_pylist()
+def text_blocks(batch: pa.RecordBatch, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Slices (ids, texts as large strings) of a batch (id, text) of about ``size`` bytes; a longer text is one of its own."""
+    texts = batch.column(1)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(upto, (int(upto[a - 1]) if a else 0) + size, side="right")))
+        # taken, not sliced: kernels misread strings whose first offset isn't 0
+        yield batch.column(0).slice(a, b - a), texts.take(pa.array(np.arange(a, b))).cast(pa.large_string())
+        a = b
 
 
-def blocks(ids: list, texts: list[bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes | None]]]:
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or b"")
-        if held >= size:
-            yield ids[a : i + 1], texts[a : i + 1]
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield ids[a:], texts[a:]
+def raw_texts(texts: pa.Array) -> list[bytes | None]:
+    """UTF-8 bytes of each text without decoding; null stays None."""
+    return texts.cast(pa.large_binary()).to_pylist()
 
 
-def lower_words(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: what bytes.lower and bytes.split do."""
-    return (text or b"").lower().split()
+def word_lists(texts: pa.Array) -> pa.Array:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text with A-Z lower-cased, as lists; a blank or null text is one empty word."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
 
 
-def shingle_sets(texts: list[bytes | None], hashes: WordHashes, k: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its k-word shingles. With fewer words the whole sequence is one."""
-    words = [lower_words(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter((hashes[w] for ws in words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+    words = word_lists(texts)
+    coded = words.flatten().dictionary_encode()
+    each = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, each), dtype=np.uint64, count=len(each))
+    flat = hashed[coded.indices.to_numpy()]
+    edges = words.offsets.to_numpy()
+    edges = edges - edges[0]
+    sizes = np.diff(edges)
+    blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))), 0).to_numpy(zero_copy_only=False)
     odd = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
-    ends = np.cumsum(sizes)
     out: list[np.ndarray] = []
     n = len(flat) - k + 1
     window = np.zeros(max(n, 0), dtype=np.uint64)
@@ -65,15 +62,14 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes, k: int = 5) -> l
         for j in range(k if n > 0 else 0):
             window += mixed(flat[j : j + n] + U(j + 1)) * odd[j % len(odd)]
         window = mixed(window)
-        for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
-            a = end - size
-            if size >= k:
-                out.append(np.unique(window[a : end - k + 1]))
-            elif size:
+        for a, size, none in zip(edges.tolist(), sizes.tolist(), blank.tolist(), strict=False):
+            if none:
+                out.append(np.empty(0, dtype=np.uint64))
+            elif size >= k:
+                out.append(np.unique(window[a : a + size - k + 1]))
+            else:
                 short = U(size * 7919)
                 for j in range(size):
                     short += mixed(flat[a + j : a + j + 1] + U(j + 1))[0] * odd[(j + 3) % len(odd)]
                 out.append(mixed(np.array([short], dtype=np.uint64)))
-            else:
-                out.append(np.empty(0, dtype=np.uint64))
     return out
