@@ -1,15 +1,18 @@
 """Fuzzy line dedup: character shingles, MinHash bands, exact Jaccard verification, distributed union-find.
 
-Equal lines (spaces at the ends and A-Z case aside) collapse first. A distinct line's signature is one-permutation
-MinHash over its character shingles, empty bins taking the value of the next full one. Bands of bins deal lines to
-buckets; a bucket links its lines to its least one, and the links are verified on full shingle sets. Members of a
-bucket that are still in different components after that are compared with each other, large buckets block by block,
-so no link within a bucket is lost. Of each component's lines the first (smallest doc_id, then line number) stays.
-Lines of fewer characters than two shingles count as copies only if equal.
+Equal lines (white space at the ends and A-Z case aside) collapse first, by 64 bits of hash. A distinct line's signature is
+one-permutation MinHash over its character shingles, empty bins taking the value of the next full one. Bands of bins deal
+lines to buckets; a bucket of two lines is a candidate pair, a larger one links its lines to its least one, and the links
+are verified on full shingle sets. Members of a bucket that are still in different components after that are compared with
+each other, large buckets block by block, so no link within a bucket is lost. Of each component's lines the first (smallest
+doc_id, then line number) stays. Lines of fewer characters than two shingles count as copies only if equal.
+
+One pass in Arrow batches cuts, hashes and signs the lines; the texts of candidates are cut out later, where they lie.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -22,9 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.llm.components import components
-from agentlake.llm.shared import materialise, narrow
-from agentlake.llm.words import U, blocks, mixed, raw_texts
-
+from agentlake.llm.shared import hot_join, materialise, narrow
+from agentlake.llm.words import U, raw_texts, text_blocks
+
+#: Texts are gathered into blocks of about so many bytes, which bounds the arrays that a block's signatures take.
+LINE_BLOCK_BYTES = 512 << 10
+#: Lines that a task remembers to have given a signature.
+REMEMBERED = 200_000
+#: Rows up to which (counted) a list of lines or buckets is broadcast.
+FEW = 1_000_000
 #: Members and bytes up to which a bucket is compared whole; of a larger one, at most about so many are in a block.
 SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 512, 250_000
 #: Shingles compared at once by a pair of blocks.
@@ -41,112 +50,139 @@ class Settings:
     rows: int = 5
 
 
+#: White space at the ends of a line.
+BLANK = " \t\r\x0b\x0c"
+
+
 def normal(line: bytes) -> bytes:
     return line.strip().lower()
 
 
 def line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+    """What Spark's xxhash64 says of the line."""
+    x = xxhash.xxh64_intdigest(line, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser on ``x`` itself, with one array of working room."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> U(shift)
+        x *= U(factor)
+    x ^= x >> U(31)
+    return x
 
 
 def shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of all lines, each shingle's line, and the lines' numbers of characters."""
     texts = [x.decode("utf-8", "replace") for x in lines]
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
     n = len(flat) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), sizes
     acc = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            acc = acc * U(0x100000001B3) + flat[j : j + n]
-        acc = mixed(acc)
-    line = np.repeat(np.arange(len(lines)), sizes)
+            acc *= U(0x100000001B3)
+            acc += flat[j : j + n]
+        mix_in_place(acc)
+    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
     inside = line[:n] == line[k - 1 :]
     return acc[inside], line[:n][inside], sizes
 
 
 def signatures(lines: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (lines, bands) and which lines have any."""
-    m = settings.bands * settings.rows
+    m, none = settings.bands * settings.rows, np.iinfo(np.uint32).max
     h, line, sizes = shingles(lines, settings.characters)
-    low = np.full(len(lines) * m, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.full(len(lines) * m, none, dtype=np.uint32)
     if len(h):
-        bins = ((h >> U(32)) * U(m) >> U(32)).astype(np.int64)
-        np.minimum.at(low, line * m + bins, h << U(32) | h >> U(32))
+        at = ((h >> U(32)) * U(m) >> U(32)).astype(np.int64)
+        at += line * np.int64(m)
+        np.minimum.at(low, at, h.astype(np.uint32))
     low = low.reshape(len(lines), m)
-    fuzzy = sizes >= 2 * settings.characters
-    none = np.iinfo(np.uint64).max
-    for _ in range(m):  # borrow from the next bin until all are full
-        gaps = (low == none) & fuzzy[:, None]
-        if not gaps.any():
-            break
-        low = np.where(gaps, np.roll(low, -1, axis=1), low)
+    # an empty bin borrows from the next full one, around the end
+    nearest = np.where(low == none, np.int16(2 * m), np.arange(m, dtype=np.int16))
+    nearest = np.concatenate([nearest, nearest + np.int16(m)], axis=1)
+    nearest = np.minimum.accumulate(nearest[:, ::-1], axis=1)[:, ::-1][:, :m] % m
+    low = np.take_along_axis(low, nearest.astype(np.int64), axis=1).astype(np.uint64)
+    key = np.zeros((len(lines), settings.bands), dtype=np.uint64) + np.arange(1, settings.bands + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        key = np.zeros((len(lines), settings.bands), dtype=np.uint64) + np.arange(1, settings.bands + 1, dtype=np.uint64)
         for j in range(settings.rows):
-            key = mixed(key * U(0x9E3779B97F4A7C15) + low[:, j :: settings.rows])
-    return key.view(np.int64), fuzzy
+            key *= U(0x9E3779B97F4A7C15)
+            key += low[:, j :: settings.rows]
+            mix_in_place(key)
+    return key.view(np.int64), sizes >= 2 * settings.characters
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line_no, line) of lines with text."""
+def _lines(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """(doc_id, place, line_no, line, buckets) of lines with text. ``place`` names the row: its id, or its text's hash for
+    want of one. Buckets come with one of a line's rows in each part of the texts, if the line is long enough for any."""
+    seen: set[int] = set()
     for batch in batches:
-        for ids, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-            out: list[list] = [[], [], []]
-            for doc_id, text in zip(ids, texts, strict=True):
-                for n, x in enumerate(map(normal, (text or b"").split(b"\n"))):
+        for ids, texts in text_blocks(batch, LINE_BLOCK_BYTES):
+            out: list[list] = [[], [], [], []]
+            new, at = {}, []
+            for doc_id, text in zip(ids.to_pylist(), raw_texts(texts), strict=True):
+                place = line_hash(text or b"") if doc_id is None else doc_id
+                for n, x in enumerate((text or b"").lower().split(b"\n")):
+                    x = x.strip()
                     if x:
-                        out[0].append(doc_id)
-                        out[1].append(n)
-                        out[2].append(line_hash(x))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["doc_id", "line_no", "line"])
-
-
-def _bands(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """(bucket, line) of the distinct fuzzy lines of each block of texts."""
-    for batch in batches:
-        for _, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-            lines = {line_hash(x): x for t in texts for x in map(normal, (t or b"").split(b"\n")) if len(x) >= 2 * settings.characters}
-            key, fuzzy = signatures(list(lines.values()), settings)
-            ids = np.fromiter(lines, dtype=np.int64, count=len(lines))[fuzzy]
-            yield pa.RecordBatch.from_arrays([pa.array(key[fuzzy].ravel()), pa.array(np.repeat(ids, settings.bands))], ["bucket", "line"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts in blocks(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-            lines = {line_hash(x): x for t in texts for x in map(normal, (t or b"").split(b"\n")) if x}
-            yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.binary())], ["line", "text"])
+                        h = line_hash(x)
+                        if len(x) >= 2 * settings.characters and h not in seen and h not in new:
+                            new[h] = x
+                            at.append(len(out[0]))
+                        for column, value in zip(out, (doc_id, place, n, h), strict=True):
+                            column.append(value)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(new)
+            key, fuzzy = signatures(list(new.values()), settings)
+            sizes = np.zeros(len(out[0]), dtype=np.int32)
+            sizes[np.array(at, dtype=np.int64)[fuzzy]] = settings.bands
+            edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(edges, pa.array(key[fuzzy].ravel()))], ["doc_id", "place", "line_no", "line", "buckets"])
+
+
+LINES = "doc_id long, place long, line_no int, line long, buckets array<bigint>"
 
 
 def _verified(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
+        kept: tuple = (None, None)  # pairs come in runs of one line
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            s, t = (np.unique(shingles([z], settings.characters)[0]) for z in (x, y))
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            if kept[0] != y:
+                kept = (y, set(shingles([y], settings.characters)[0].tolist()))
+            s, t = set(shingles([x], settings.characters)[0].tolist()), kept[1]
+            both = len(s & t)
             ok.append(100 * both >= settings.percent * max(1, len(s) + len(t) - both))
         ok = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
-def _shared(h: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-    """(count, count): how many of the distinct shingles ``h`` two owners both hold."""
-    both = np.zeros((count, count), dtype=np.int64)
-    _, at, held = np.unique(h, return_inverse=True, return_counts=True)
-    keep = held[at] > 1  # a shingle of one line counts in no intersection
-    at, owner = (np.cumsum(held > 1) - 1)[at[keep]], owner[keep]
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
+def _shared(h: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles of ``h`` two owners both hold (count, count), and how many each holds."""
+    order = np.argsort(h)
+    h, owner = h[order], owner[order].astype(np.int64)
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    at = np.cumsum(new) - 1
+    held = np.bincount(at, minlength=1)
+    alone = held[at] == 1  # counts in no intersection
+    sizes = np.bincount(owner[alone], minlength=count).astype(np.int64)
     several = int((held > 1).sum())
+    at, owner = (np.cumsum(held > 1) - 1)[at[~alone]], owner[~alone]
+    both = np.zeros((count, count), dtype=np.int64)
     for first in range(0, several, COLUMNS):
         a, b = np.searchsorted(at, [first, first + COLUMNS])
         part = np.zeros((count, min(COLUMNS, several - first)), dtype=np.float32)
         part[owner[a:b], at[a:b] - first] = 1
         both += (part @ part.T).astype(np.int64)
-    return both
+        sizes += part.sum(1).astype(np.int64)
+    return both, sizes
 
 
 def _compared(settings: Settings):
@@ -156,12 +192,7 @@ def _compared(settings: Settings):
         bucket, ids, c, block = (table[k].to_numpy() for k in ("bucket", "line", "c", "block"))
         across = table["low"][0].as_py() != table["high"][0].as_py()
         h, owner, _ = shingles(table["text"].to_pylist(), settings.characters)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[new], owner[new]
-        size = np.bincount(owner, minlength=len(ids))
+        upto = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))])
         parent: dict = {}
 
         def root(x):
@@ -171,9 +202,9 @@ def _compared(settings: Settings):
 
         out: list[list] = [[], []]
         for a, b in pairwise(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()):
-            first, last = np.searchsorted(owner, [a, b])
-            both = _shared(h[first:last], owner[first:last] - a, b - a)
-            n, part, i_c, i_block = size[a:b], ids[a:b], c[a:b], block[a:b]
+            first, last = upto[a], upto[b]
+            both, n = _shared(h[first:last], owner[first:last] - a, b - a)
+            part, i_c, i_block = ids[a:b], c[a:b], block[a:b]
             linked = 100 * both >= settings.percent * np.maximum(1, n[:, None] + n[None, :] - both)
             linked &= (i_c[:, None] != i_c[None, :]) & (part[:, None] > part[None, :])
             if across:
@@ -195,8 +226,11 @@ def open_links(told: DataFrame, found: DataFrame, settings: Settings) -> DataFra
     ``told``: bucket, line, c. ``found``: line, text. Both lines of a bucket of two have been compared. Small buckets are
     dealt over tasks several at a time; the comparison of a large one costs its square, dealt by pairs of blocks.
     """
-    heads = told.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high and members > 2")
-    open_ = materialise(told.join(heads.select("bucket"), "bucket").join(found, "line").select("bucket", "line", "c", "text"), "open")
+    signs = (F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"sign_{k}") for k in (1, 2))
+    heads = told.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"), *signs).filter("low <> high and members > 2")
+    # of buckets with the same members one is enough
+    heads = heads.groupBy("members", "sign_1", "sign_2").agg(F.min("bucket").alias("bucket"))
+    open_ = materialise(told.join(narrow(heads.select("bucket"), FEW), "bucket").join(found, "line").select("bucket", "line", "c", "text"), "open")
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("size"))
     sizes = sizes.withColumn("small", (F.col("members") <= SMALL_BUCKET) & (F.col("size") <= BLOCK_BYTES))
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")), "sizes")
@@ -209,23 +243,44 @@ def open_links(told: DataFrame, found: DataFrame, settings: Settings) -> DataFra
     return few.unionByName(dealt).groupBy("deal", "low", "high").applyInArrow(_compared(settings), "a long, b long")
 
 
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): lines that share a bucket with its least line; (bucket, line): members of buckets of more than two."""
+    dealt = lines.select("line", F.explode("buckets").alias("bucket"))
+    # a line comes once for each part of the texts that holds it, so a bucket's count is no less than its lines
+    met = dealt.groupBy("bucket").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count(F.lit(1)).alias("members"))
+    met = materialise(met.filter("head <> last"), "met")
+    twos = met.filter("members = 2").select(F.col("last").alias("a"), F.col("head").alias("b"))
+    large = met.filter("members > 2").select("bucket", "head")
+    shared = materialise(dealt.join(narrow(large, FEW), "bucket").distinct(), "shared")
+    pairs = twos.union(shared.filter("line <> head").select("line", "head")).distinct()
+    return materialise(pairs, "pairs"), shared.select("bucket", "line")
+
+
+def line_texts(need: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line, text) in normal form of the lines ``need`` (line), each cut out of one document that holds it."""
+    where = lines.join(narrow(need, FEW), "line", "left_semi").groupBy("line").agg(F.min(F.struct("place", "line_no")).alias("at"))
+    where = where.groupBy("at.place").agg(F.collect_list(F.struct("line", "at.line_no")).alias("wanted"))  # lines of one document
+    placed = texts.withColumn("place", F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    cut = placed.join(narrow(materialise(where, "where"), FEW), "place").select("wanted", F.split("text", "\n", -1).alias("cut"))
+    raw = cut.select(F.explode(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get("cut", w["line_no"]).alias("raw")))).alias("w")).select("w.*")
+    text = F.trim(F.translate("raw", string.ascii_uppercase, string.ascii_lowercase), F.lit(BLANK))
+    # a place that two rows share may hold other lines as well
+    return raw.select("line", text.alias("text")).filter(F.xxhash64("text") == F.col("line")).groupBy("line").agg(F.first(F.encode("text", "utf-8")).alias("text"))
+
+
 def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, line_no (from 0), line (hash), component, kept for every line with text of ``docs`` (doc_id, text).
 
     Null and blank texts have no such lines. Lines of rows with a null doc_id come last in the order and are told apart
-    by line number only; rows that repeat a doc_id with one text keep their first lines alike. Empty tables give no rows.
+    by line number only; rows that repeat a doc_id with one text keep their first lines alike. A very long text counts
+    whole. Empty tables give no rows; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialise(texts.mapInArrow(_lines, "doc_id long, line_no int, line long"), "lines")
-    # a line comes once for each block of texts that holds it
-    banded = materialise(texts.mapInArrow(partial(_bands, settings=settings), "bucket long, line long"), "bands")
-    heads = banded.groupBy("bucket").agg(F.min("line").alias("head"), F.max("line").alias("last")).filter("head <> last").select("bucket", "head")
-    shared = materialise(banded.join(heads, "bucket").distinct(), "shared")
-    pairs = shared.filter("line <> head").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
+    lines = materialise(texts.mapInArrow(partial(_lines, settings=settings), LINES), "lines")
+    pairs, shared = candidates(lines)
     need = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "need")
-    found = texts.mapInArrow(_texts, "line long, text binary").join(narrow(need, 1_000_000), "line", "left_semi")
-    found = materialise(found.groupBy("line").agg(F.min("text").alias("text")), "line_texts")
+    found = materialise(line_texts(need, lines, texts), "line_texts")
+    lines = lines.drop("place", "buckets")
     side = lambda x: found.select(F.col("line").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     links = materialise(both.mapInArrow(partial(_verified, settings=settings), "a long, b long"), "links")
@@ -235,12 +290,18 @@ def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     if more.limit(1).count():
         label = components(links.union(more)).withColumnRenamed("id", "line")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("first")).join(label, "line", "left")
-    firsts = firsts.select("line", "first", F.coalesce("component", "line").alias("component"))
-    chosen = firsts.groupBy("component").agg(F.min("first").alias("stays"))
-    firsts = firsts.join(chosen, "component").select("line", "component", "stays")
-    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))
-    return lines.join(firsts, "line").select("doc_id", "line_no", "line", "component", kept.alias("kept"))
+    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    # a line that comes once and is in no component stays as it is
+    firsts = materialise(firsts.join(label, "line", "left").filter("times > 1 or component is not null").withColumn("component", F.coalesce("component", "line")), "firsts")
+    chosen = firsts.groupBy("component").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("variants"))
+    firsts = hot_join(firsts.select("line", "component", "times"), chosen, ["component"], "variants")
+    firsts = materialise(firsts.select("line", "component", "times", F.col("stays.doc_id").alias("stays_id"), F.col("stays.line_no").alias("stays_no")), "decided")
+    if firsts.limit(FEW + 1).count() <= FEW:
+        told = lines.join(F.broadcast(firsts.drop("times")), "line", "left")
+    else:
+        told = hot_join(lines, firsts, ["line"], "times")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays_id")) & (F.col("line_no") == F.col("stays_no"))
+    return told.select("doc_id", "line_no", "line", F.coalesce("component", "line").alias("component"), (F.col("component").isNull() | stays).alias("kept"))
 
 
 def document_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
