@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from agentlake.llm.components import components
 from agentlake.llm.shared import hot_join, materialise, narrow
-from agentlake.llm.words import U, raw_texts, text_blocks
+from agentlake.llm.words import U, raw_texts, text_blocks, tidy
 
 #: Texts are gathered into blocks of about so many bytes, which bounds the arrays that a block's signatures take.
 LINE_BLOCK_BYTES = 512 << 10
@@ -116,6 +116,7 @@ def signatures(lines: list[bytes], settings: Settings) -> tuple[np.ndarray, np.n
     return key.view(np.int64), sizes >= 2 * settings.characters
 
 
+@tidy
 def _lines(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     """(doc_id, place, line_no, line, buckets) of lines with text. ``place`` names the row: its id, or its text's hash for
     want of one. Buckets come with one of a line's rows in each part of the texts, if the line is long enough for any."""
@@ -149,6 +150,7 @@ def _lines(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa
 LINES = "doc_id long, place long, line_no int, line long, buckets array<bigint>"
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from agentlake.llm.components import components
 from agentlake.llm.shared import hot_join, materialise, narrow
-from agentlake.llm.words import U, mixed, shingle_sets, text_blocks
+from agentlake.llm.words import U, mixed, shingle_sets, text_blocks, tidy
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Ids of candidates are broadcast to the text scan up to this many (counted); beyond, texts are shuffled to them.
@@ -91,6 +91,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
 
 
 def _features(settings: Settings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in text_blocks(batch):
@@ -108,6 +109,7 @@ def _features(settings: Settings):
 
 
 def _bands(settings: Settings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
@@ -123,6 +125,7 @@ def _bands(settings: Settings):
 
 
 def _likely(settings: Settings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = settings.bands * settings.rows
         for batch in batches:
@@ -137,6 +140,7 @@ def _likely(settings: Settings):
 
 
 def _sets(settings: Settings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in text_blocks(batch):
@@ -147,6 +151,7 @@ def _sets(settings: Settings):
 
 
 def _verified(settings: Settings):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []

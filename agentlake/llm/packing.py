@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlake.llm.shared import materialise, with_prefix
-from agentlake.llm.words import text_blocks
+from agentlake.llm.words import text_blocks, tidy
 
 CAPACITY, END = 4096, 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,7 +39,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The model's letter for each byte: printable ones are themselves, the others follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: About the most bytes that a Python worker remembers chunks in, and what an entry takes beside its letters and ids.
+#: About the most bytes that a task remembers chunks in, and what an entry takes beside its letters and ids.
 CACHE_BYTES, ENTRY_BYTES = 96 << 20, 180
 #: Marks between an ASCII letter and white space: a run of them is a pre-token of its own.
 MARKS = r"([a-z])([.,;:!?*$%&#|]+)([\x09-\x0d\x20]|\z)"
@@ -59,7 +59,7 @@ def parts(texts: pa.Array) -> pa.Array:
 
 
 class Encoded(dict):
-    """Chunk -> its token ids as little-endian 32-bit bytes, remembered up to a bound in bytes.
+    """Chunk -> its token ids as little-endian 32-bit bytes, remembered within a task up to a bound in bytes.
 
     A chunk of small Latin letters is one pre-token that normalisation leaves alone, so the model alone encodes it. Other
     unknown chunks of a block of texts go through the whole tokenizer together, each token to the chunk its offset lies in.
@@ -78,6 +78,10 @@ class Encoded(dict):
         lowering = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
         self.by_chunk = lowering == LOWERING and (steps[0].get("pattern") or {}).get("Regex") == PRE_TOKENS
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def learn(self, new: list[bytes]) -> None:
         other, tokenize = [], self.model.tokenize
         for w in new:
@@ -107,8 +111,7 @@ class Encoded(dict):
         coded = found.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
+            self.forget()
         self.learn([w for w in distinct if w not in self])
         ids = pa.array(list(map(self.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
         _, offsets, values = ids.buffers()
@@ -118,7 +121,7 @@ class Encoded(dict):
 
 
 def encoder(path: str) -> Encoded:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker; the tokenizer is kept from task to task, the chunks aren't."""
     kept = sys.modules.setdefault("agentlake_worker_state", types.ModuleType("agentlake_worker_state")).__dict__
     if ("encoded", path) not in kept:
         kept["encoded", path] = Encoded(path)
@@ -131,6 +134,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
     encoded = encoder(path or default_vocabulary())
     end, step = np.array([END], dtype="<u4").tobytes(), 4 * capacity
@@ -148,7 +152,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int)
                     for column, value in zip(out, (doc_id, piece, at // 4, (stop - at) // 4, crc), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    pa.default_memory_pool().release_unused()
+    encoded.forget()
 
 
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

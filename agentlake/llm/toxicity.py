@@ -2,27 +2,25 @@
 
 Categories are predicted in order; each later model also gets the earlier categories' probabilities, which for
 training come from models that haven't seen the row (out-of-fold). A document's inputs are its distinct words and
-their prefixes, hashed; the strongest by chi-square in the sample are kept. The sample of labelled rows is bounded by
+their prefixes; the strongest by chi-square in the sample are kept. The sample of labelled rows is bounded by
 ``Settings.sample`` (smallest hashes of doc_id first); scoring reads every document whole, in one pass.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.llm.shared import materialise
+from agentlake.llm.words import text_blocks, tidy
 
-WORD = re.compile(r"\w+")
 #: category -> its condition on the label table, in the order of the chain; the last decides.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
@@ -44,59 +42,88 @@ class Model:
     """For each category: intercept, weights of earlier probabilities, weight of each input; ``bounds`` decide."""
 
     settings: Settings
-    inputs: dict[int, int] = field(default_factory=dict)
+    inputs: dict[str, int] = field(default_factory=dict)
     intercepts: list[float] = field(default_factory=list)
     chained: list[np.ndarray] = field(default_factory=list)
     weights: np.ndarray | None = None
     bounds: list[float] = field(default_factory=list)
 
 
-def hashed(word: str, prefixes: tuple[int, ...]) -> list[int]:
-    """The word's inputs: itself and its proper prefixes."""
-    out = [xxhash.xxh3_64_intdigest("=" + word)]
-    out += [xxhash.xxh3_64_intdigest("^" + word[:k]) for k in prefixes if k < len(word)]
-    return [x - (1 << 63) for x in out]
-
-
-def distinct_words(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
-
-
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of the words of texts: runs of letters, numerals and underscores in lower case; without any, one empty word."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}_]+", " ")
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+
+
+def named(words: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[str, pa.Array]]:
+    """The inputs of words: themselves and their proper prefixes (null for shorter words), each kind with its mark."""
+    yield "=", pc.if_else(pc.equal(words, ""), None, words)
+    length = pc.utf8_length(words)
+    for k in prefixes:
+        yield f"{k}", pc.if_else(pc.greater(length, k), pc.utf8_slice_codeunits(words, 0, k), None)
+
+
+class Held:
+    """Which of the known inputs texts hold, and by how many distinct words."""
+
+    def __init__(self, inputs: dict[str, int], prefixes: tuple[int, ...]):
+        self.prefixes, self.width = prefixes, len(inputs) + 1
+        self.known = {}
+        for mark in ("=", *map(str, prefixes)):
+            mine = {x[len(mark) + 1 :]: n for x, n in inputs.items() if x.startswith(mark + ":")}
+            self.known[mark] = pa.array(list(mine), pa.large_string()), np.fromiter(mine.values(), dtype=np.int64, count=len(mine))
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, input, distinct words of the text that have the input), sorted."""
+        words = split_words(texts)
+        coded = words.flatten().dictionary_encode()
+        n_words = len(coded.dictionary)
+        text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        pair = np.unique(text * np.int64(n_words + 1) + coded.indices.to_numpy())  # each word once a text
+        text, word = np.divmod(pair, n_words + 1)
+        pairs = []
+        for mark, each in named(coded.dictionary, self.prefixes):
+            strings, numbers = self.known[mark]
+            if len(strings):
+                at = pc.fill_null(pc.index_in(each, value_set=strings, skip_nulls=True), -1).to_numpy(zero_copy_only=False)[word]
+                pairs.append(text[at >= 0] * np.int64(self.width) + numbers[at[at >= 0]])
+        pair, times = np.unique(np.concatenate([np.empty(0, np.int64), *pairs]), return_counts=True)
+        return *np.divmod(pair, self.width), times
+
+
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """(input, documents with it, of those in each category) for a part of the sample, in bounded pieces."""
+    """(input, documents with it, of those in each category) for each block of the sample."""
     n = len(settings.categories)
-    names = ["input", "held", *(f"y{k}" for k in range(n))]
-
-    def emit(counts: list[Counter]) -> pa.RecordBatch:
-        keys = list(counts[0])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names)
-
-    counts = [Counter() for _ in range(n + 1)]
     for batch in batches:
-        labels = [batch.column(k + 1).to_pylist() for k in range(n)]
-        for i, text in enumerate(batch.column(0).to_pylist()):
-            held = {x for w in distinct_words(text) for x in hashed(w, settings.prefixes)}
-            counts[0].update(held)
-            for k in range(n):
-                if labels[k][i]:
-                    counts[k + 1].update(held)
-            if len(counts[0]) > 500_000:
-                yield emit(counts)
-                counts = [Counter() for _ in range(n + 1)]
-    yield emit(counts)
-
-
-def _vectors(batches: Iterator[pa.RecordBatch], settings: Settings, inputs: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    n = len(settings.categories)
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(0)], ["at", "text"])
+        for at, texts in text_blocks(place):
+            words = split_words(texts)
+            coded = words.flatten().dictionary_encode()
+            text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+            weights = [None, *(np.asarray(batch.column(k + 1).take(at).to_numpy(zero_copy_only=False), dtype=float) for k in range(n))]
+            for mark, each in named(coded.dictionary, settings.prefixes):
+                kinds = each.dictionary_encode()
+                number = kinds.indices.take(coded.indices)
+                there = number.is_valid().to_numpy(zero_copy_only=False)
+                pair = np.unique(text[there] * np.int64(len(kinds.dictionary) + 1) + number.drop_null().to_numpy())
+                row, number = np.divmod(pair, len(kinds.dictionary) + 1)
+                sums = [np.bincount(number, None if w is None else w[row], minlength=len(kinds.dictionary)) for w in weights]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{mark}:{x}" for x in kinds.dictionary.to_pylist()], pa.string()), *(pa.array(x.astype(np.int64)) for x in sums)], ["input", "held", *(f"y{k}" for k in range(n))]
+                )
+
+
+@tidy
+def _vectors(batches: Iterator[pa.RecordBatch], settings: Settings, inputs: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    n, held = len(settings.categories), Held(inputs, settings.prefixes)
     for batch in batches:
-        index, value = [], []
-        for text in batch.column(0).to_pylist():
-            c = Counter(inputs[x] for w in distinct_words(text) for x in hashed(w, settings.prefixes) if x in inputs)
-            index.append(sorted(c))
-            value.append([c[k] for k in index[-1]])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k + 1) for k in range(n + 1)), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32()))], [*(f"y{k}" for k in range(n)), "fold", "index", "value"]
-        )
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(0)], ["at", "text"])
+        for at, texts in text_blocks(place):
+            text, column, times = held.counts(texts)
+            edges = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (column, times)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).take(at) for k in range(n + 1)), *lists], [*(f"y{k}" for k in range(n)), "fold", "index", "value"])
 
 
 class Rows:
@@ -175,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most ``sample`` rows
     sample = materialise(sample.select("text", *(f"y{k}" for k in range(n)), fold), "labelled")
     count = sample.agg(F.count(F.lit(1)), *(F.sum(f"y{k}") for k in range(n))).first()
-    held = sample.select("text", *(f"y{k}" for k in range(n))).mapInArrow(partial(_counted, settings=settings), "input long, held long, " + ", ".join(f"y{k} long" for k in range(n)))
+    held = sample.select("text", *(f"y{k}" for k in range(n))).mapInArrow(partial(_counted, settings=settings), "input string, held long, " + ", ".join(f"y{k} long" for k in range(n)))
     held = held.groupBy("input").agg(F.sum("held").alias("held"), *(F.sum(f"y{k}").alias(f"y{k}") for k in range(n))).filter(F.col("held") >= settings.least_documents)
     total, wanted = max(count[0], 1), []
     for k in range(n):
@@ -183,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         gap = F.col(f"y{k}") - share * F.col("held")
         wanted.append(gap * gap / (F.col("held") * (1 - F.col("held") / (total + 1)) + 1e-9))
     held = held.select("input", *(w.alias(f"chi{k}") for k, w in enumerate(wanted)))
-    inputs: dict[int, int] = {}
+    inputs: dict[str, int] = {}
     held = materialise(held, "inputs")
     for k in range(n):  # at most ``inputs`` rows
         for r in held.orderBy(F.desc(f"chi{k}"), "input").limit(settings.inputs // n).select("input").collect():
@@ -214,28 +241,25 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return model
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, keep: bool) -> Iterator[pa.RecordBatch]:
-    n = len(model.settings.categories)
-    cache: dict[str, list[int]] = {}
+def probabilities(texts: pa.Array, held: Held, model: Model) -> np.ndarray:
+    """(texts, categories): the chain on one block of texts."""
+    text, column, times = held.counts(texts)
+    value, n = np.log1p(times), len(model.settings.categories)
+    out = np.zeros((len(texts), n))
+    for k in range(n):
+        z = model.intercepts[k] + np.bincount(text, weights=value * model.weights[k][column], minlength=len(texts)) + out[:, :k] @ model.chained[k]
+        out[:, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return out
+
+
+@tidy
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: int, keep: bool) -> Iterator[pa.RecordBatch]:
+    n, held = len(model.settings.categories), Held(model.inputs, model.settings.prefixes)
     for batch in batches:
-        out = np.zeros((batch.num_rows, n))
-        for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            c: Counter = Counter()
-            for w in distinct_words(text):
-                got = cache.get(w)
-                if got is None:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    got = cache[w] = [model.inputs[h] for h in hashed(w, model.settings.prefixes) if h in model.inputs]
-                if got:
-                    c.update(got)
-            z = np.array(model.intercepts)
-            if c:
-                z = z + model.weights[:, list(c)] @ np.log1p(np.fromiter(c.values(), float, len(c)))
-            for k in range(n):
-                out[i, k] = 1 / (1 + np.exp(-np.clip(z[k] + out[i, :k] @ model.chained[k], -30, 30)))
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(column).cast(pa.string())], ["at", "text"])
+        out = np.concatenate([np.zeros((0, n)), *(probabilities(texts, held, model) for _, texts in text_blocks(place))])
         if keep:
-            yield batch.filter(pa.array(out[:, -1] < model.bounds[-1])).select(range(batch.num_columns - 1))
+            yield batch.filter(pa.array(out[:, -1] < model.bounds[-1]))
         else:
             flags = [pa.array(out[:, k] >= model.bounds[k]) for k in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(n)), *flags], ["doc_id", *(f"p{k}" for k in range(n)), *(f"f{k}" for k in range(n))])
@@ -243,14 +267,16 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, keep: bool) -> Iter
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, then for each category its probability (p_<name>) and verdict (<name>), for every row of ``docs``. Null and
-    empty texts have no words and get the intercepts. Repeated rows come out alike; other columns are ignored."""
+    empty texts have no words and get the intercepts; a very long text counts whole. Repeated rows come out alike; other
+    columns are ignored; an empty table gives no rows."""
     names = [name for name, _ in model.settings.categories]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(["doc_id long", *(f"p_{n} double" for n in names), *(f"{n} boolean" for n in names)])
-    return rows.mapInArrow(partial(_scored, model=model, keep=False), schema)
+    return rows.mapInArrow(partial(_scored, model=model, column=1, keep=False), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the chain's last category doesn't hold, with their own columns, in one pass."""
-    rows = docs.select("*", F.col("text").cast("string").alias("_agentlake_text_to_score"))
-    return rows.mapInArrow(partial(_scored, model=model, keep=True), docs.schema)
+    """The rows of ``docs`` that the chain's last category doesn't hold, with their own columns, in one pass. Rows are
+    judged one by one: null ids, repeated rows and columns of any name stay as they are; null and empty texts are judged
+    by the intercepts; an empty table stays empty."""
+    return docs.mapInArrow(partial(_scored, model=model, column=docs.columns.index("text"), keep=True), docs.schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,22 @@ U = np.uint64
 BLOCK_BYTES = 4 << 20
 
 
+def tidy(f: Callable) -> Callable:
+    """A function over Arrow batches that gives its memory back to the system when its task ends, as idle Python workers
+    stay beside the executor that started them."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
