@@ -1,94 +1,122 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
-Texts are combined map-side by (64-bit hash, bytes), so a hot text travels once per map task and rows whose
-hashes collide stay apart because their bytes differ. The combined entries, one per distinct text, form the
-index: a directory of hash prefixes doubles while any bucket holds more than ``capacity`` entries, splitting
-only the overfull buckets; entries are then dealt to owner tasks by key range, chained within equal hashes,
-and written to the shared folder. Documents look their entry up with narrow rows.
+A first pass counts 64-bit text hashes. From the counts follows the directory: it doubles while any bucket holds more
+than ``capacity`` distinct hashes, splitting only the overfull buckets, as deep as the corpus needs. A second pass sends
+each document's whole text to the owner of its bucket, by the directory. Owner tasks hold key ranges (a bucket is a range
+of hashes); they chain the texts whose hashes collide, told apart by their bytes, and what a document's entry in the chain
+says is the document's result. Hot texts, those of over 1 / HOT of all documents, would overfill their owner: they are at
+most HOT, so their entries are made map-side, by bytes too, and their documents meet them where they lie.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentlake.llm.shared import materialise, text_or_empty
+from agentlake.llm.shared import materialise, narrow, text_or_empty
 
-#: The directory never exceeds 2 ** MAX_DEPTH slots, whatever the corpus.
-MAX_DEPTH = 12
-ROW = ("doc_id", "hash", "sha")
+#: A hash of more than 1 / HOT of all rows (and more than LEAST_HOT rows) is hot.
+HOT, LEAST_HOT = 10_000, 1000
+#: Deepest directory: bits of the hash.
+MOST_BITS = 40
+#: Distinct hashes that a bucket holds unless told otherwise, or as many as make about MOST_BUCKETS buckets.
+CAPACITY, MOST_BUCKETS = 500, 1 << 15
+#: Slots of the directory up to which (counted) it is broadcast; by default it has at most 8 * MOST_BUCKETS.
+SLOTS_AT_ONCE = 1_000_000
 
 
-def normalised(column: str = "text"):
-    """Lower-case A-Z only; null counts as empty."""
-    return F.translate(text_or_empty(column), string.ascii_uppercase, string.ascii_lowercase)
+def normalised(column: str = "text") -> Column:
+    """Lower-case A-Z only; null counts as empty. ``lower`` does the same to texts of one byte a character, and faster."""
+    text = text_or_empty(column)
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def directory(prefix_counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> dict[tuple[int, int], int]:
-    """Buckets (local depth, prefix) -> entries, from entry counts by ``max_depth``-bit prefix.
+def key_of(column: str = "text") -> Column:
+    """A hash that equal normalised texts share. Texts that differ in the case of other letters collide on purpose: this is
+    cheaper, and the chain tells them apart."""
+    return F.xxhash64(F.lower(text_or_empty(column)))
 
-    Starts with one bucket; while some bucket is overfull the directory doubles (global depth + 1) and the
-    overfull buckets split in two. A bucket at ``max_depth`` keeps what it has: its owner chains on.
+
+def slot_of(key: str, bits: int) -> Column:
+    """The first ``bits`` bits of a 64-bit hash."""
+    return F.shiftrightunsigned(key, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+
+
+def directory(counts: DataFrame, bits: int, capacity: int) -> DataFrame:
+    """slot, depth, bucket: for each slot of ``bits`` bits (slot, n) the bucket that holds it.
+
+    A bucket (depth, prefix) is split while it holds more than ``capacity`` and there are bits left, so a slot's bucket is
+    its shortest prefix that holds no more. All depths are counted at once; nothing comes to the driver.
     """
-    buckets = {(0, 0): sum(prefix_counts.values())}
-    for depth in range(max_depth):
-        overfull = [b for b, n in buckets.items() if b[0] == depth and n > capacity]
-        if not overfull:
-            break
-        below: Counter = Counter()
-        for prefix, n in prefix_counts.items():
-            below[prefix >> (max_depth - depth - 1)] += n
-        for _, prefix in overfull:
-            del buckets[depth, prefix]
-            for child in (2 * prefix, 2 * prefix + 1):
-                buckets[depth + 1, child] = below[child]
-    return buckets
-
-
-def build_index(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
-    """One row per distinct text: hash, sha, keep_id, group_size, bucket, local_depth, chain (from 0 within a hash)."""
-    spark = docs.sparkSession
-    text = docs.select(F.col("doc_id"), normalised().alias("norm")).withColumn("hash", F.xxhash64("norm"))
-    entries = materialise(
-        text.groupBy("hash", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"),
-        "entries",
-    )
-    slot = F.shiftrightunsigned("hash", 64 - MAX_DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in entries.groupBy(slot.alias("slot")).count().collect()}  # at most 2 ** MAX_DEPTH rows
-    slots = [(p, d, n) for n, (d, q) in enumerate(sorted(directory(counts, capacity))) for p in range(q << (MAX_DEPTH - d), (q + 1) << (MAX_DEPTH - d))]
-    table = spark.createDataFrame(slots, "slot int, local_depth int, bucket int")
-    placed = entries.withColumn("slot", slot).join(F.broadcast(table), "slot").drop("slot")
-    chain = F.row_number().over(Window.partitionBy("hash").orderBy("sha", "keep_id")) - 1
-    return materialise(placed.withColumn("chain", chain).repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash"), "index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain.
-
-    Of equal texts the row with the largest doc_id stays (null ids sort lowest); of repeated rows with that
-    doc_id one stays. Null text counts as empty. An empty table gives no rows; other columns are ignored.
+    at = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+    prefix = F.expr(f"shiftright(slot, {bits} - depth)")
+    held = at.groupBy("depth", prefix.alias("prefix")).agg(F.sum("n").alias("held")).filter((F.col("held") <= capacity) | (F.col("depth") == bits))
+    met = at.select("slot", "depth", prefix.alias("prefix")).join(held, ["depth", "prefix"])
+    found = met.groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b"))
+    # depth and prefix in one number: a 1 before the prefix's bits
+    return found.select("slot", F.col("b.depth").alias("depth"), (F.expr("shiftleft(1L, b.depth)") + F.col("b.prefix")).alias("bucket"))
+
+
+def exact_dedup(docs: DataFrame, capacity: int | None = None, carried: tuple[str, ...] = (), hot: int = HOT, least_hot: int = LEAST_HOT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain, and a struct
+    ``row`` of doc_id, text and the ``carried`` columns.
+
+    Of equal texts the row with the largest doc_id stays (null ids sort lowest); of repeated rows with that doc_id one
+    stays. Null text counts as empty; a very long text is compared whole. An empty table gives no rows; columns that
+    aren't carried are ignored, whatever their names.
     """
-    index = build_index(docs, capacity)
-    rows = docs.select(F.col("doc_id"), normalised().alias("norm")).select("doc_id", F.xxhash64("norm").alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    rows = rows.groupBy("doc_id", "hash", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return rows.join(index, ["hash", "sha"], "left").select("doc_id", "keep_id", "group_size", "hash", "sha", "bucket", "local_depth", "chain", copy).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "local_depth", "chain", "hash",
+    narrow_rows = docs.select(key_of().alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    hashes = materialise(narrow_rows, "hashes")
+    size = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    capacity = capacity or max(CAPACITY, size[0] // MOST_BUCKETS)
+    # a few bits more than an even spread needs, as hashes spread nearly evenly
+    bits = min(MOST_BITS, (size[0] // capacity).bit_length() + 2)
+    table = materialise(directory(hashes.groupBy(slot_of("hash", bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")), bits, capacity), "directory")
+
+    row = F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", "text", *carried))))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), key_of().alias("hash"), row.alias("row")).withColumn("slot", slot_of("hash", bits))
+    often = hashes.filter(F.col("n") > max(least_hot, size[1] // hot)).select("hash")  # fewer than ``hot``
+    hot_hashes = [r[0] for r in often.collect()]
+    is_hot = F.col("hash").isin(hot_hashes) if hot_hashes else F.lit(False)
+
+    dealt = rows.filter(~is_hot).join(narrow(table, SLOTS_AT_ONCE), "slot").repartition("bucket").withColumn("norm", normalised("row.text"))
+    entry = Window.partitionBy("bucket", "hash", "norm")
+    chain = Window.partitionBy("bucket", "hash").orderBy("norm")
+    told = dealt.select(
+        "row", "doc_id", "hash", "bucket", "depth",
+        F.sha2("norm", 256).alias("text_sha256"),
+        (F.dense_rank().over(chain) - 1).alias("chain"),
+        F.max("doc_id").over(entry).alias("keep_id"),
+        F.count(F.lit(1)).over(entry).alias("group_size"),
+        F.row_number().over(entry.orderBy(F.desc_nulls_last("doc_id"))).alias("nth"),
     )
-
-
-def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns."""
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_agentlake_id"), F.col("text_sha256").alias("_agentlake_sha"))
-    mine = docs.withColumn("_agentlake_sha", F.sha2(normalised(), 256)).withColumn("_agentlake_id", F.col("doc_id"))
-    one = Window.partitionBy("_agentlake_id", "_agentlake_sha").orderBy("_agentlake_id")
-    same = F.col("k._agentlake_id").eqNullSafe(F.col("d._agentlake_id")) & (F.col("k._agentlake_sha") == F.col("d._agentlake_sha"))
-    left = mine.alias("d").join(kept.alias("k"), same, "left_semi")
-    return left.withColumn("_agentlake_n", F.row_number().over(one)).filter("_agentlake_n = 1").select(*docs.columns)
+    told = told.withColumn("kept", F.col("nth") == 1).drop("nth")
+    if hot_hashes:
+        told = told.unionByName(_hot(rows.filter(is_hot).join(narrow(table, SLOTS_AT_ONCE), "slot").withColumn("norm", normalised("row.text"))))
+    return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", F.col("depth").alias("local_depth"), "chain", "hash", "row")
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """What ``exact_dedup`` says of the rows of hot hashes, of which there are few distinct texts."""
+    entries = rows.groupBy("bucket", "hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    chain = Window.partitionBy("bucket", "hash").orderBy("norm")
+    entries = entries.select("bucket", "hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", (F.dense_rank().over(chain) - 1).alias("chain"))
+    entries = materialise(entries, "hot")
+    met = rows.withColumn("text_sha256", F.sha2("norm", 256)).join(narrow(entries, SLOTS_AT_ONCE), ["bucket", "hash", "text_sha256"])
+    met = met.select("row", "doc_id", "hash", "bucket", "depth", "text_sha256", "chain", "keep_id", "group_size")
+    last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    nth = F.row_number().over(Window.partitionBy("bucket", "hash", "text_sha256").orderBy("doc_id"))
+    stays = met.filter(last).withColumn("kept", nth == 1)  # one row, but for repeated ones
+    return met.filter(~last).withColumn("kept", F.lit(False)).unionByName(stays)
+
+
+def keep_rows(docs: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns, in the owners' one shuffle of the documents.
+
+    Null ids, null and empty texts, repeated rows and empty tables as there; columns of any name are carried along.
+    """
+    columns = tuple(c for c in docs.columns if c != "doc_id")
+    return exact_dedup(docs, capacity, columns).filter("kept").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
