@@ -1,15 +1,18 @@
 """Exact top-k inner products by a Voronoi join.
 
-Vectors become integers. Pivots, a bounded sample of the queries, deal queries to cells; each cell is summed up by its
-queries' greatest distance r from the pivot p. For a data vector v every query q of the cell has
-p.v - r|v| <= q.v <= p.v + r|v|. The (k+1)-th greatest lower bound over all data is thus reached by k others than the
-query itself, and a data vector goes to the cell only if its upper bound reaches that far. Cells are solved in blocks of
-queries by slices of data, so a hot cell is many tasks, and the slices' lists are merged.
+Vectors become integers. Pivots, a bounded sample of the queries, deal queries and data to cells by nearest pivot. Cells
+are summed up: of its queries, a cell i has the greatest distance r from its pivot p; of its data, a cell j has the
+greatest distance R and how many there are. For a data vector v every query q of cell i has p.v - r|v| <= q.v <= p.v + r|v|;
+the (k+1)-th greatest lower bound over all data is reached by k others than the query itself. Data of cell j can matter to
+cell i only if p_i.p_j + |p_i| R_j + r_i (|p_j| + R_j) reaches that far, and of it only the vectors whose own upper bound
+does; these are counted and sent. Cells are solved in blocks of queries by slices of the data sent to them, so a hot cell
+is many tasks, and the slices' lists are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -93,19 +96,42 @@ def _bounds(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.nd
     yield pa.RecordBatch.from_arrays([pa.array(cell[real]), pa.array(value[real])], ["cell", "low"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, floor: np.ndarray, blocks: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Plan:
+    """What tasks need to know of all cells; arrays of at most ``most_pivots`` rows (and columns)."""
+
+    pivots: np.ndarray
+    radius: np.ndarray  # of a cell's queries
+    floor: np.ndarray  # lower bound of a cell's k-th score
+    blocks: np.ndarray  # of a cell's queries
+    meets: np.ndarray  # (data cell, query cell): whether data of the one can matter to the other
+
+    def wanted(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(data, cells): which vectors (vec_id, v, cell, distance) go to which cells' queries."""
+        centre, slack = _reach(matrix(batch.column(1).to_pylist(), self.pivots.shape[1]), self.pivots, self.radius)
+        return (centre + slack >= self.floor[None, :]) & self.meets[batch.column(2).to_numpy()] & (self.blocks > 0)[None, :]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    sent = np.zeros(len(plan.pivots), dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            sent += plan.wanted(batch).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sent), dtype=np.int32)), pa.array(sent)], ["cell", "sent"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, slices: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each data vector for each block of queries of each cell that it can matter to."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        centre, slack = _reach(matrix(batch.column(1).to_pylist(), pivots.shape[1]), pivots, radius)
-        row, cell = np.nonzero(centre + slack >= floor[None, :])
-        times = blocks[cell]
+        row, cell = np.nonzero(plan.wanted(batch))
+        times = plan.blocks[cell]
         row, cell = np.repeat(row, times), np.repeat(cell, times)
         block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+        ids = batch.column(0).to_numpy()
         at = pa.array(row)
-        part = (ids[row] * 0x9E3779B1 & 0x7FFFFFFF) % slices
+        part = (ids[row] * 0x9E3779B1 & 0x7FFFFFFF) % slices[cell]
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "block", "slice", "vec_id", "v"])
 
 
@@ -132,41 +158,79 @@ def _solved(left: pa.Table, right: pa.Table, k: int, dims: int) -> pa.Table:
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, most_pivots: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the ``k`` greatest inner products.
+@dataclass
+class Voronoi:
+    """data and queries (vec_id, v, cell, distance), the plan, and how many vectors go to each cell."""
 
-    Vectors (vec_id, embedding) that are null, hold nulls or non-finite numbers, or have a null id take no part; shorter
-    ones count as filled up with zeros. A query has no rows if there is no other vector. Rows that repeat a vec_id are
-    candidates of their own, but none for a query of that id, and such a query is answered once for each distinct vector.
-    """
+    data: DataFrame
+    queries: DataFrame
+    n_data: int
+    plan: Plan
+    sent: np.ndarray
+
+    def share(self) -> float:
+        """Pairs of data vectors and blocks of queries that are solved, of all such pairs."""
+        return float((self.sent * self.plan.blocks).sum() / max(1, self.n_data * self.plan.blocks.sum()))
+
+
+CELLS = "vec_id long, v binary, cell int, distance double"
+
+
+def grouped(vectors: DataFrame, k: int, every: int, scale: int, most_pivots: int) -> Voronoi | None:
+    """The join before any data is sent; None without queries."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    data = materialise(rows.mapInArrow(partial(_integers, scale=scale), "vec_id long, v binary"), "integers")
-    queries = data.filter(F.col("vec_id") % every == 0).distinct()
-    size = data.agg(F.count(F.lit(1)), F.max(F.octet_length("v"))).first()
-    empty = "query_id long, rank int, vec_id long, score long"
-    n_queries = queries.count()
-    if not n_queries:
-        return data.sparkSession.createDataFrame([], empty)
-    dims = size[1] // 8
-    m = int(np.clip(n_queries // QUERIES_AT_ONCE, 1, most_pivots))
-    chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(m).collect()  # at most ``most_pivots`` rows
-    pivots = matrix([r["v"] for r in chosen], dims)
-    dealt = materialise(queries.mapInArrow(partial(_cells, pivots=pivots), "vec_id long, v binary, cell int, distance double"), "queries")
-    summary = {r[0]: r for r in dealt.groupBy("cell").agg(F.max("distance"), F.count(F.lit(1))).collect()}  # a row per pivot
-    radius = np.array([summary[c][1] if c in summary else 0.0 for c in range(len(pivots))])
-    blocks = np.array([-(-summary[c][2] // QUERIES_AT_ONCE) if c in summary else 0 for c in range(len(pivots))])
+    plain = materialise(rows.mapInArrow(partial(_integers, scale=scale), "vec_id long, v binary"), "integers")
+    asked = plain.filter(F.col("vec_id") % every == 0)
+    size = plain.agg(F.count(F.lit(1)), F.max(F.octet_length("v"))).first()
+    chosen = asked.distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_pivots).collect()  # at most ``most_pivots`` rows
+    if not chosen:
+        return None
+    pivots = matrix([r["v"] for r in chosen], size[1] // 8)
+    m = len(pivots)
+    data = materialise(plain.mapInArrow(partial(_cells, pivots=pivots), CELLS), "cells")
+    queries = materialise(data.filter(F.col("vec_id") % every == 0).distinct(), "queries")
+
+    def told(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        summary = {r[0]: r for r in df.groupBy("cell").agg(F.max("distance"), F.count(F.lit(1))).collect()}  # a row per pivot
+        return np.array([summary[c][1] if c in summary else 0.0 for c in range(m)]), np.array([summary[c][2] if c in summary else 0 for c in range(m)])
+
+    radius, n_queries = told(queries)
+    reach, _ = told(data)
     lows = data.mapInArrow(partial(_bounds, pivots=pivots, radius=radius, k=k + 1), "cell int, low double")
     ranked = lows.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).filter(F.col("n") == k + 1)
     reached = {r[0]: r[1] for r in ranked.select("cell", "low").collect()}  # a row per pivot
     # a repeated id may stand k + 1 times for the query itself: then nothing is known
-    repeats = data.filter(F.col("vec_id") % every == 0).groupBy("vec_id").count().filter("count > 1").limit(1).count()
-    floor = np.array([-np.inf if repeats else reached.get(c, -np.inf) for c in range(len(pivots))])
+    repeats = asked.groupBy("vec_id").count().filter("count > 1").limit(1).count()
+    floor = np.array([-np.inf if repeats else reached.get(c, -np.inf) for c in range(m)])
+    p = pivots.astype(float)
+    norm = np.sqrt((p**2).sum(1))
+    most = p @ p.T + norm[None, :] * reach[:, None] + radius[None, :] * (norm + reach)[:, None]
+    plan = Plan(pivots, radius, floor, -(-n_queries // QUERIES_AT_ONCE), most * (1 + np.sign(most) * 1e-9) + 1e-3 >= floor[None, :])
+    sent = np.zeros(m, dtype=np.int64)
+    for r in data.mapInArrow(partial(_counted, plan=plan), "cell int, sent long").groupBy("cell").agg(F.sum("sent")).collect():  # a row per pivot
+        sent[r[0]] = r[1]
+    return Voronoi(data, queries, size[0], plan, sent)
 
-    slices = max(1, -(-size[0] // DATA_AT_ONCE))
-    sent = data.mapInArrow(partial(_dealt, pivots=pivots, radius=radius, floor=floor, blocks=blocks, slices=slices), "cell int, block int, slice int, vec_id long, v binary")
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.array(*(F.lit(int(max(b, 1))) for b in blocks)), F.col("cell") + 1)).cast("int")
-    asked = dealt.withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("cell", "block", "slice", "vec_id", "v")
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, most_pivots: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the ``k`` greatest inner products.
+
+    Vectors (vec_id, embedding) that are null, hold nulls or non-finite numbers, or have a null id take no part; shorter
+    ones count as filled up with zeros, very long ones count whole, and a finite component too large for an integer fails
+    the query. A query has no rows if there is no other vector. Rows that repeat a vec_id are candidates of their own, but
+    none for a query of that id, and such a query is answered once for each distinct vector. Ties go to the smaller vec_id.
+    An empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    found = grouped(vectors, k, every, scale, most_pivots)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    plan, dims = found.plan, found.plan.pivots.shape[1]
+    slices = np.maximum(1, -(-found.sent // DATA_AT_ONCE))
+    sent = found.data.mapInArrow(partial(_dealt, plan=plan, slices=slices), "cell int, block int, slice int, vec_id long, v binary")
+    of_cell = lambda x: F.element_at(F.array(*(F.lit(int(n)) for n in x)), F.col("cell") + 1)
+    block = F.pmod(F.xxhash64("vec_id", "v"), of_cell(np.maximum(plan.blocks, 1))).cast("int")
+    asked = found.queries.filter(of_cell(found.sent > 0) == 1).withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), of_cell(slices) - 1)))
     key = ["cell", "block", "slice"]
-    found = asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(partial(_solved, k=k, dims=dims), "query_id long, vec_id long, score long")
+    solved = asked.select(*key, "vec_id", "v").groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(partial(_solved, k=k, dims=dims), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return solved.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
