@@ -1,10 +1,11 @@
 """Mixing sources to target weights in fixed-length blocks (DataFrame functions only).
 
-Each source's words, in (doc_id) order, are packed into blocks of ``block`` words (shorter blocks for sources of
-few words, so that rounding to whole blocks stays small). A source gets as many slots of the mix as its target
-needs, at most 3 for each block. Every slot draws its output shard from a hash, so the counts of a source over
-shards are multinomial, given its total. Slot o of a source takes block pi(o mod blocks), pi being the source's
-own pseudorandom permutation of block indices; slots and blocks then meet in a join by index.
+Each source's words, in (doc_id) order, are packed into blocks of ``block`` words (shorter blocks for sources of few
+words, so that rounding to whole blocks stays small). A source gets as many slots of the mix as its target needs, at most
+3 for each block. For every output shard the number of slots of each source is drawn (multinomial, given each source's
+total, so that sources meet their targets but for rounding): a slot's hash names its shard, and shards count. From these
+counts slots are numbered shard by shard. Slot o of a source takes block pi(o mod blocks), pi being the source's own
+pseudorandom permutation of block indices (the order of their hashes). Slots and blocks then meet in a join by index.
 """
 
 from __future__ import annotations
@@ -18,10 +19,8 @@ from agentlake.llm.shared import materialise, narrow, with_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-#: Multipliers of the index permutations: primes whose product with an index stays under 2 ** 63.
-PRIME_31 = 2147483647
-PRIMES_20 = (1048573, 1048571, 1048559)
-SLOTS_AT_ONCE = 8192
+#: Slots that one row makes, and about how many one task makes.
+SLOTS_AT_ONCE, SLOTS_AT_TASK = 8192, 1 << 17
 
 
 def word_count(column: str = "text") -> Column:
@@ -64,29 +63,29 @@ class Mix:
         return self.slots.hint("merge").join(self.spans.filter("block is not null"), ["src", "block"])
 
     def taken(self) -> DataFrame:
-        """rows with ``taken``: words the mix takes of each document, repeats counted.
-
-        Slots are generated, so Spark underrates their number; the hint keeps it from broadcasting their counts.
-        """
-        times = self.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-        by_row = self.spans.join(times.hint("merge"), ["src", "block"], "left").groupBy("row_index", "doc_id", "size", "src")
-        return by_row.agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).cast("long").alias("taken"))
-
-
-def permuted(index: Column, n: Column, turn: Column) -> Column:
-    """A permutation of 0..n-1: index * prime + turn (mod n), the prime not dividing n."""
-    large = F.lit(PRIMES_20[-1])
-    for p in reversed(PRIMES_20[:-1]):
-        large = F.when(n % p != 0, F.lit(p)).otherwise(large)
-    factor = F.when(n < PRIME_31, F.lit(PRIME_31)).otherwise(large.cast("long"))
-    return F.pmod(F.pmod(index * factor, n) + F.pmod(turn, n), n)
+        """rows with ``taken``: words the mix takes of each document, repeats counted, as its slots and blocks meet."""
+        met = self.spans.join(self.slots.select("src", "block", "slot").hint("merge"), ["src", "block"], "left")
+        words = F.when(F.col("slot").isNotNull(), F.col("words"))
+        return met.groupBy("row_index", "doc_id", "size", "src").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+
+
+def permuted(sources: DataFrame, seed: int, tasks: int) -> DataFrame:
+    """src, at, block: each source's pseudorandom permutation of its block indices (sources: src, blocks). Blocks in the
+    order of their hashes take the places from 0 on; the order is global and dealt by range."""
+    chunks = sources.filter("blocks > 0").select("src", "blocks", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {SLOTS_AT_ONCE})")).alias("chunk")).repartition(tasks, "src", "chunk")
+    each = F.sequence(F.col("chunk") * SLOTS_AT_ONCE, F.least((F.col("chunk") + 1) * SLOTS_AT_ONCE, F.col("blocks")) - 1)
+    hashed = chunks.select("src", F.explode(each).alias("block")).withColumn("hash", F.xxhash64(F.lit(seed), "src", "block"))
+    placed = with_prefix(hashed.withColumn("one", F.lit(1)), ["src", "hash", "block"], "one", "permuted").select("src", "row_index", "block")
+    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
+    first = sources.select("src", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("first"))
+    return placed.join(narrow(first, 100_000), "src").select("src", (F.col("row_index") - F.col("first")).alias("at"), "block")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 64, shard_words: int = 1 << 20, seed: int = 7) -> Mix:
     """Plan a mix of all of ``docs`` (doc_id, text, source). Reruns agree. Documents without words are in no block.
 
-    Null sources form a source of their own; null text has no words; repeated rows are rows of their own; other
-    columns are ignored.
+    Null sources form a source of their own; null text has no words; a very long text spans as many blocks as it needs;
+    repeated rows are rows of their own; other columns are ignored; an empty table makes an empty mix.
     """
     sized = docs.select("doc_id", "source", word_count().alias("size"))
     sized = materialise(sized, "sized")
@@ -112,19 +111,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, bloc
 
     words = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     out_shards = max(1, -(-words // shard_words))
-    chunks = sources.filter("slots > 0").select("src", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS_AT_ONCE})")).alias("chunk")).repartition("src", "chunk")
+    n_all = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    tasks = max(1, -(-n_all // SLOTS_AT_TASK))
+    chunks = sources.filter("slots > 0").select("src", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS_AT_ONCE})")).alias("chunk")).repartition(tasks, "src", "chunk")
     each = F.sequence(F.col("chunk") * SLOTS_AT_ONCE, F.least((F.col("chunk") + 1) * SLOTS_AT_ONCE, F.col("slots")) - 1)
-    slots = chunks.select("src", "blocks", F.explode(each).alias("slot")).select(
-        F.pmod(F.xxhash64(F.lit(seed), "src", "slot"), F.lit(out_shards)).alias("out_shard"),
-        "src", "slot",
-        permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src")).alias("block"),
-    )
+    drawn = chunks.select("src", F.explode(each).alias("draw")).select("src", F.pmod(F.xxhash64(F.lit(seed), "src", "draw"), F.lit(out_shards)).alias("out_shard"))
+    counts = drawn.groupBy("src", "out_shard").agg(F.count(F.lit(1)).alias("n"))
+    counts = with_prefix(counts, ["src", "out_shard"], "n", "drawn").withColumnRenamed("prefix", "upto")
+    counts = materialise(counts.join(counts.groupBy("src").agg(F.min("upto").alias("low")), "src").select("src", "out_shard", "n", (F.col("upto") - F.col("low")).alias("first")), "counts")
+    parts = counts.select("src", "out_shard", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOTS_AT_ONCE})")).alias("part")).repartition(tasks, "src", "out_shard", "part")
+    each = F.sequence(F.col("first") + F.col("part") * SLOTS_AT_ONCE, F.col("first") + F.least((F.col("part") + 1) * SLOTS_AT_ONCE, F.col("n")) - 1)
+    slots = parts.select("out_shard", "src", F.explode(each).alias("slot")).join(small.select("src", "blocks"), "src")
+    slots = slots.select("out_shard", "src", "slot", (F.col("slot") % F.col("blocks")).alias("at"))
+    slots = slots.hint("merge").join(permuted(sources.select("src", "blocks"), seed, tasks), ["src", "at"]).drop("at")
     return Mix(sources, rows, spans, slots)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Whole documents of the mix, with the columns of ``docs``: each comes as often as the block with its first word
-    is drawn (0 to ``most`` times), so sources keep to their targets on the whole."""
+    is drawn (0 to ``most`` times), so sources keep to their targets on the whole. Documents without words are in no block
+    and don't come; null ids and sources match as such; repeated rows share what they draw; other columns stay, whatever
+    their names; an empty table stays empty."""
     m = mix(docs, **options)
     times = m.slots.groupBy("src", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     first = m.spans.filter("first_word = 0 and block is not null").select("doc_id", "size", "src", "block")
@@ -134,5 +141,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     drawn = drawn.select("_agentlake_id", "_agentlake_source", "_agentlake_size", F.greatest(F.lit(1), F.round(F.col("_agentlake_sum") / F.col("_agentlake_rows"))).cast("int").alias("_agentlake_times"))
     sized = docs.withColumn("_agentlake_words", word_count())
     same = F.col("doc_id").eqNullSafe(F.col("_agentlake_id")) & F.col("source").eqNullSafe(F.col("_agentlake_source")) & (F.col("_agentlake_words") == F.col("_agentlake_size"))
-    both = sized.join(drawn.hint("merge"), same)
+    both = sized.join(materialise(drawn, "drawn_documents").hint("merge"), same)
     return both.withColumn("_agentlake_copy", F.explode(F.sequence(F.lit(1), F.col("_agentlake_times")))).select(*docs.columns)
