@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +77,38 @@ def test_exact_dedup(docs, rows, none):
     assert Counter((g["doc_id"], g["keep_id"], g["group_size"], g["text_sha256"]) for g in got) == want
     assert Counter(g["text_sha256"] for g in got if g["kept"]) == Counter({hashlib.sha256(t.encode()).hexdigest(): 1 for t in groups})
     assert len({g["bucket"] for g in got}) > 4 and exact_dedup.exact_dedup(none).count() == 0
-    kept = exact_dedup.keep_rows(docs, exact_dedup.exact_dedup(docs))
+    kept = exact_dedup.keep_rows(docs)
     assert kept.count() == len(groups) and kept.columns == docs.columns
 
 
-def test_directory_doubles():
-    counts = {0: 100, 1: 1, 4095: 5}
-    got = exact_dedup.directory(counts, 50)
-    assert sum(got.values()) == 106 and (1, 1) in got and (12, 0) in got and got[12, 0] == 100
-    covered = sorted(p for d, q in got for p in range(q << 12 - d, (q + 1) << 12 - d))
-    assert covered == list(range(4096)) and exact_dedup.directory({}, 5) == {(0, 0): 0}
+def test_directory_doubles(spark):
+    """Against splitting overfull buckets one by one."""
+    r = np.random.default_rng(5)
+    counts = {int(p): int(n) for p, n in zip(r.choice(256, 60, replace=False), r.integers(1, 40, 60), strict=True)}
+    want, todo = {}, [(0, 0)]
+    while todo:
+        depth, prefix = todo.pop()
+        inside = [p for p in counts if p >> 8 - depth == prefix]
+        if sum(counts[p] for p in inside) <= 50 or depth == 8:
+            want |= {p: (depth, (1 << depth) + prefix) for p in inside}
+        else:
+            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
+    got = exact_dedup.directory(spark.createDataFrame(list(counts.items()), "slot long, n long"), 8, 50).collect()
+    assert {g["slot"]: (g["depth"], g["bucket"]) for g in got} == want
+
+
+def test_exact_dedup_hot_texts_and_index(spark, docs, rows):
+    """Hot texts come out as others do, and without its owner's entry a document has no result."""
+    plain = Counter(map(tuple, exact_dedup.exact_dedup(docs, capacity=8).drop("row").collect()))
+    hot = exact_dedup.exact_dedup(docs, capacity=8, hot=50, least_hot=1)
+    assert Counter(map(tuple, hot.drop("row").collect())) == plain
+    assert exact_dedup.keep_rows(docs, 8).columns == docs.columns
+    full = exact_dedup.directory
+    try:
+        exact_dedup.directory = lambda *a: full(*a).filter("slot % 2 = 0")
+        assert 0 < exact_dedup.exact_dedup(docs, capacity=1).count() < len(rows)
+    finally:
+        exact_dedup.directory = full
 
 
 def test_top_k(spark):
@@ -135,6 +158,17 @@ def test_top_k_prunes(spark):
         assert [got[q, k] for k in range(1, 6)] == sorted(s.tolist(), reverse=True)[:5]
 
 
+def test_top_k_sends_less_than_all(spark):
+    """Vectors without any structure: with as many pivots as queries, and fewer."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2000)], "vec_id long, embedding array<double>")
+    assert topk.grouped(df, 5, 50, 256, 256).share() < 0.5
+    few = topk.grouped(df, 5, 50, 256, 8)
+    assert len(few.plan.pivots) == 8 and few.share() <= 1
+
+
 def test_sharding(docs, rows, none):
     got = sharding.shard_by_bytes(docs, shards=8).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
@@ -197,11 +231,32 @@ def test_mixing(docs, rows, none):
 
 
 def test_permutation(spark):
-    for n in (1, 2, 97, 1000):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(-12345).cast("long")).alias("p")).collect()
-        assert sorted(g["p"] for g in got) == list(range(n))
-    p = spark.range(2000).select(mixing.permuted(F.col("id") + 10**12, F.lit(3 * 10**12).cast("long"), F.lit(5).cast("long")).alias("p"))
-    assert p.distinct().count() == 2000
+    sizes = {0: 1, 1: 2, 2: 0, 3: 97, 4: 10_000}
+    sources = spark.createDataFrame(list(sizes.items()), "src long, blocks long")
+    orders = []
+    for seed in (1, 2):
+        got = mixing.permuted(sources, seed, 3).collect()
+        orders.append({s: [g["block"] for g in sorted((g for g in got if g["src"] == s), key=lambda g: g["at"])] for s in sizes})
+        assert all(sorted(orders[-1][s]) == list(range(n)) for s, n in sizes.items())
+        assert sorted((g["src"], g["at"]) for g in got) == [(s, i) for s, n in sizes.items() for i in range(n)]
+    assert orders[0][3] != orders[1][3] and sum(a == b for a, b in enumerate(orders[0][4])) < 20
+    assert len({(b - a) % 97 for a, b in pairwise(orders[0][3])}) > 30  # neighbours don't stay neighbours, as under an affine map
+
+
+def test_mixing_draws_decide_what_a_shard_holds(spark):
+    rows = [(i, "w " * 500, "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.mix(docs, shard_words=20_000)
+    held = {(g["out_shard"], g["src"]): g["n"] for g in m.slots.groupBy("out_shard", "src").agg(F.count("*").alias("n")).collect()}
+    slots = {s["src"]: s["slots"] for s in m.sources.collect()}
+    assert len({o for o, _ in held}) == 10 and all(sum(n for (_, s), n in held.items() if s == src) == total for src, total in slots.items())
+    assert len({n for (_, s), n in held.items() if s == 0}) > 3  # drawn, not shared out evenly
+    other = mixing.mix(docs, shard_words=20_000, seed=8)
+    assert sorted(map(tuple, m.slots.collect())) != sorted(map(tuple, other.slots.collect()))
+    # numbered shard by shard, without gaps
+    for src, total in slots.items():
+        mine = sorted((g["slot"], g["out_shard"]) for g in m.slots.filter(F.col("src") == src).collect())
+        assert [n for n, _ in mine] == list(range(total)) and [o for _, o in mine] == sorted(o for _, o in mine)
 
 
 def test_html_text(spark, none):
@@ -312,7 +367,7 @@ def shingles(text):
     return {tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def near_brute(pairs):
+def near_brute(pairs, percent=85):
     ids = [i for i, _ in pairs]
     sets = {i: shingles(t) for i, t in pairs}
     parent = {i: i for i in ids}
@@ -325,7 +380,7 @@ def near_brute(pairs):
     for a in sorted(sets):
         for b in sorted(sets):
             s, t = sets[a], sets[b]
-            if b < a and s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if b < a and s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -383,7 +438,7 @@ def test_components(spark):
 
 
 def test_words_are_bytes_rules():
-    assert words.lower_words("A\x1cB\u00a0É\tC\x0bd".encode()) == ["a\x1cb\u00a0É".encode(), b"c", b"d"] and words.lower_words(None) == []
+    assert words.word_lists(pa.array([" A\x1cB\u00a0É\tC\x0bd ", None, " "])).to_pylist() == [["a\x1cb\u00a0É", "c", "d"], [""], [""]]
 
 
 def packed_ok(got, docs_rows):
@@ -427,7 +482,7 @@ def test_packing_plans(seed):
     r = random.Random(seed)
     lengths = [r.choice([r.randrange(513, 4096), int(r.lognormvariate(7, 0.6)) % 4095 + 1]) for _ in range(1500)]
     counts = Counter(x for x in lengths if x > 512)
-    places, bins = packing.plan_large(counts, 4096, 64)
+    places, bins = packing.plan_large(counts, 4096, 1024)
     ordered = sorted((x for x in lengths if x > 512), reverse=True)
     fill = Counter()
     for rank, x in enumerate(ordered):
@@ -441,7 +496,7 @@ def test_packing_plans(seed):
         p = places[np.searchsorted(places[:, 0], rank, side="right") - 1]
         b = int(p[1] + (rank - p[0]) // p[2])
         fill[room[b][1] if b < len(room) else ("new", b)] += x
-    assert max(fill.values()) <= 4096 and sum(fill.values()) == sum(lengths) and len(fill) <= sum(lengths) / 4096 * 1.08 + 1
+    assert max(fill.values()) <= 4096 and sum(fill.values()) == sum(lengths) and len(fill) <= sum(lengths) / 4096 * 1.03 + 1
 
 
 def test_toxicity(spark, none):
