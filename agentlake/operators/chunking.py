@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import partial
 from html import unescape
 from itertools import pairwise
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,51 +28,75 @@ _TAG = re.compile(r"<!--.*?-->|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<a
 _SPAN = re.compile(r"\b(row|col)span\s*=\s*[\"']?(\d+)", re.I)
 
 
-def _grids(html: str) -> list[tuple[dict[tuple[int, int], str], int]]:
-    """Outermost tables as (cells by row and column, header rows). An unclosed table counts; nested cells join the outer grid."""
-    out: list[tuple[dict, int]] = []
-    cells: dict[tuple[int, int], str] = {}
-    depth = headers = column = 0
-    row, at, open_cell, held = -1, 0, None, ""
-    for m in _TAG.finditer(html):
-        if open_cell:
-            held += unescape(html[at : m.start()])
-        at = m.end()
-        name, close = (m["name"] or "").lower(), m["close"]
-        if name == "table" and not close:
-            depth += 1
-            if depth == 1:
-                cells, headers, row = {}, 0, -1
-        elif name == "table":
-            if depth == 1 and cells:
-                out.append((cells, headers))
-                cells = {}
-            depth = max(0, depth - 1)
-        elif not depth:
-            continue
-        elif name == "tr" and not close:
-            row, column = row + 1, 0
-        elif name in ("td", "th") and not close:
-            while (row, column) in cells:
-                column += 1
-            spans = {k.lower(): int(v) or 1 for k, v in _SPAN.findall(m["attrs"])}
-            open_cell, held = (name, spans.get("row", 1), spans.get("col", 1)), ""
-        elif name in ("td", "th") and open_cell:
-            kind, down, across = open_cell
-            for r in range(down):
-                for c in range(across):
-                    cells[row + r, column + c] = held.strip() if r == c == 0 else ""
-            headers = max(headers, row + 1) if kind == "th" else headers
-            column += across
-            open_cell = None
-        elif name == "br" and open_cell:
-            held += " "
-    return out + ([(cells, headers)] if depth and cells else [])
-
-
-def _markdown(cells: dict[tuple[int, int], str], headers: int) -> str:
-    height, width = (max(k[i] for k in cells) + 1 for i in (0, 1))
-    rows = [[cells.get((r, c), "") for c in range(width)] for r in range(height)]
+class _Cell(NamedTuple):
+    text: str
+    header: bool
+    down: int
+    across: int
+
+
+def _outermost(html: str) -> Iterator[list[re.Match]]:
+    """The tags inside each outermost table; one that isn't closed ends with the page."""
+    depth, inside = 0, []
+    for tag in _TAG.finditer(html):
+        table, closes = (tag["name"] or "").lower() == "table", bool(tag["close"])
+        if depth and not (table and closes and depth == 1):
+            inside.append(tag)
+        if table:
+            depth = max(0, depth + (-1 if closes else 1))
+            if depth == 0:
+                yield inside
+                inside = []
+    if depth:
+        yield inside
+
+
+def _rows(html: str, tags: list[re.Match]) -> list[list[_Cell]]:
+    """Rows of closed cells, those of inner tables among them."""
+    rows: list[list[_Cell]] = []
+    opened = None
+    for tag in tags:
+        kind = f"{tag['close'] or ''}{(tag['name'] or '').lower()}"
+        if kind == "tr":
+            rows.append([])
+        elif kind in ("td", "th"):
+            opened = tag
+        elif kind in ("/td", "/th") and opened:
+            text = _TAG.sub(lambda t: " " if (t["name"] or "").lower() == "br" and not t["close"] else "", html[opened.end() : tag.start()])
+            spans = {k.lower(): max(1, int(v)) for k, v in _SPAN.findall(opened["attrs"])}
+            rows = rows or [[]]
+            rows[-1].append(_Cell(unescape(text).strip(), opened["name"].lower() == "th", spans.get("row", 1), spans.get("col", 1)))
+            opened = None
+    while rows and not rows[-1]:
+        rows.pop()
+    return rows
+
+
+def _laid_out(rows: list[list[_Cell]]) -> tuple[list[list[str]], int]:
+    """The rows as a grid, and how many of them are headers. ``pending``: rows that each column is still taken for."""
+    grid: list[list[str]] = []
+    pending: list[int] = []
+    for cells in [*rows, *([] for _ in range(max((c.down for r in rows for c in r), default=1)))]:
+        if len(grid) >= len(rows) and not any(pending):
+            break
+        line, taken, at = [""] * len(pending), [max(0, n - 1) for n in pending], 0
+        for cell in cells:
+            while at < len(pending) and pending[at]:
+                at += 1
+            short = at + cell.across - len(line)
+            line, taken, pending = line + [""] * short, taken + [0] * short, pending + [0] * short
+            line[at] = cell.text
+            taken[at : at + cell.across] = [cell.down - 1] * cell.across
+            at += cell.across
+        grid.append(line)
+        pending = taken
+    headers = max((i + 1 for i, r in enumerate(rows) if any(c.header for c in r)), default=0)
+    width = max(map(len, grid), default=0)
+    return [line + [""] * (width - len(line)) for line in grid], headers
+
+
+def _markdown(rows: list[list[str]], headers: int) -> str:
+    width = len(rows[0])
     if headers:
         titles = []
         for column in zip(*rows[:headers], strict=True):
@@ -94,7 +119,8 @@ def _markdown(cells: dict[tuple[int, int], str], headers: int) -> str:
 
 def markdown_tables(html: str) -> list[str]:
     """A Markdown table for each outermost HTML table (H1); the html in a code fence if there is none."""
-    found = [_markdown(*g) for g in _grids(html)]
+    cells = [_rows(html, tags) for tags in _outermost(html)]
+    found = [_markdown(*_laid_out(rows)) for rows in cells if any(rows)]
     return found or ["```html\n" + html.strip() + "\n```"]
 
 

@@ -21,25 +21,25 @@ def A(*xs):
 def test_answers(spark):
     r = one(
         spark,
-        n1=tx.normalise_answer(L("The White House.")), n2=tx.normalise_answer(L("  a  CAT ")), last=tx.last_answer(L("<answer>Rome</answer> then <ANSWER>\n Paris </ANSWER>")), none=tx.last_answer(L("x")),
-        em=tx.exact_match(L("the U.S.A."), A("USA")), em0=tx.exact_match(L("The capital is Paris, France"), A("Paris")), cover=tx.cover_match(L("The capital is Paris, France"), A("Paris")),
-        empty_em=tx.exact_match(L(""), A("the")), empty_cover=tx.cover_match(L(""), A("the")), f1=tx.token_f1(L("new new york"), A("new york city", "x")), f10=tx.token_f1(L(""), A("")), f1n=tx.token_f1(L("a"), A()),
-        t1=tx.holds_tokens(L("you must go now"), L("us")), t2=tx.holds_tokens(L("born in New York City"), L("new york")), t3=tx.holds_tokens(L("York and New things"), L("new york")), t4=tx.holds_tokens(L("x"), L("the")),
-        s=tx.gold_surfaced(A("he was born", "in New York"), A("new york")), clean=tx.clean_answers(A(" Paris ", "paris", "", "Rome", "ROME")),
+        n1=tx.normalise_answer(L("The old; mill.")), n2=tx.normalise_answer(L("  a  CAT ")), last=tx.last_answer(L("<answer>Oslo</answer> then <ANSWER>\n Lyon </ANSWER>")), none=tx.last_answer(L("x")),
+        em=tx.exact_match(L("an A.B.C!"), A("the abc")), em0=tx.exact_match(L("It flows through Lyon, I think"), A("Lyon")), cover=tx.cover_match(L("It flows through Lyon, I think"), A("Lyon")),
+        empty_em=tx.exact_match(L(""), A("the")), empty_cover=tx.cover_match(L(""), A("the")), f1=tx.token_f1(L("red red fox"), A("red fox den", "x")), f10=tx.token_f1(L(""), A("")), f1n=tx.token_f1(L("a"), A()),
+        t1=tx.holds_tokens(L("a thousand ships"), L("sand")), t2=tx.holds_tokens(L("Up the Green River Valley"), L("green river")), t3=tx.holds_tokens(L("River so green"), L("green river")), t4=tx.holds_tokens(L("x"), L("the")),
+        s=tx.gold_surfaced(A("the boat went", "up Green River"), A("green river")), clean=tx.clean_answers(A(" Lyon ", "lyon", "", "Oslo", "OSLO")),
         pid=tx.passage_id(L("London to Brighton (disambiguation)"), L("London to Brighton is a 2006 film by Paul Andrew Williams.")),
     )
-    assert (r.n1, r.n2, r.last, r.none) == ("white house", "cat", "Paris", None)
+    assert (r.n1, r.n2, r.last, r.none) == ("old mill", "cat", "Lyon", None)
     assert (r.em, r.em0, r.cover, r.empty_em, r.empty_cover) == (True, False, True, True, False)
     assert abs(r.f1 - 2 * 2 / 6) < 1e-12 and r.f10 == 1.0 and r.f1n == 0.0
     assert (r.t1, r.t2, r.t3, r.t4, r.s) == (False, True, False, False, True)
-    assert r.clean == ["Paris", "Rome"] and r.pid == "p_001d85ff5b6ee6720bd8"
+    assert r.clean == ["Lyon", "Oslo"] and r.pid == "p_001d85ff5b6ee6720bd8"
 
 
 def test_scores_need_an_answer_outside_tools(spark):
-    score = lambda text, tools: one(spark, s=tx.score_segments(L(text), tools, A("Paris"), 0.1, 0.2)).s
-    assert score("<tool_call>x <answer>Paris</answer>", A())["score"] == 1.0 and score("<tool_call>", A())["n_tool_calls"] == 1
-    assert abs(score("<answer>Rome</answer>", A("in Paris"))["score"] - 0.3) < 1e-12
-    assert score("no answer", A("found: Paris!"))["score"] == 0.2 and score("no answer", A())["has_answer"] == 0
+    score = lambda text, tools: one(spark, s=tx.score_segments(L(text), tools, A("Lyon"), 0.1, 0.2)).s
+    assert score("<tool_call>x <answer>Lyon</answer>", A())["score"] == 1.0 and score("<tool_call>", A())["n_tool_calls"] == 1
+    assert abs(score("<answer>Oslo</answer>", A("by Lyon"))["score"] - 0.3) < 1e-12
+    assert score("no answer", A("(Lyon)"))["score"] == 0.2 and score("no answer", A())["has_answer"] == 0
 
 
 def test_small_functions(spark):
