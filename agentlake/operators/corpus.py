@@ -124,3 +124,8 @@ def provenance_hash(df: DataFrame) -> Column:
 def dotted(c: Column, path: str, default: str | None = None) -> Column:
     """A dotted path of a JSON text, or a default (Q17)."""
     return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$." + path, "string"), F.lit(default))
+
+
+def text_stats(df: DataFrame, column: str = "text") -> DataFrame:
+    """Rows and their texts' average length in characters."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.length(column)).alias("mean_chars"))

@@ -109,13 +109,16 @@ def map_totals(df: DataFrame, column: str) -> DataFrame:
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, median and nearest-rank p95 = sorted[min(n - 1, int(0.95 n))].
 
-    The rank is found among counts of distinct values, so equal values combine map-side.
+    The rank is found among counts of distinct values, so equal values combine map-side; positions come from a global
+    order that is dealt by range, so a large group is many tasks.
     """
-    from pyspark.sql import Window
+    from agentlake.operators.order import with_prefix
 
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by)
-    ordered = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    placed = with_prefix(counts, [*by, value], "c", "latencies")
+    groups = placed.groupBy(*by).agg(F.min("prefix").alias("first"), F.sum("c").alias("n")) if by else placed.agg(F.min("prefix").alias("first"), F.sum("c").alias("n"))
+    joined = placed.join(groups, list(by)) if by else placed.join(F.broadcast(groups))  # a row
+    ordered = joined.withColumn("upto", F.col("prefix") - F.col("first") + F.col("c"))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
     p95 = at(F.least(F.col("n") - 1, F.floor(0.95 * F.col("n"))))
     low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
@@ -164,3 +167,20 @@ def judged_ratio(rows: DataFrame) -> DataFrame:
     """mean(judge_score) / mean(judge_valid) and the same of agreement (A27); null without a valid verdict."""
     over = lambda c: F.try_divide(F.avg(c), F.avg("judge_valid")).alias(c)
     return rows.agg(over("judge_score"), over("agreement"))
+
+
+def scored_means(results: DataFrame, *by: str) -> DataFrame:
+    """Over scored rows: means of em, cover and f1, answered or not, those that used tools, mean tool calls, and sums of
+    errors (A4). Input: status, em, cover, f1, has_answer (0/1), n_tools, errors."""
+    scored = results.filter(F.col("status") == "scored")
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in ("em", "cover", "f1")), F.count_if(F.col("has_answer") > 0).alias("answered"), F.count_if(F.col("has_answer") == 0).alias("no_answer"),
+        F.count_if(F.col("n_tools") > 0).alias("used_tool"), F.avg("n_tools").alias("mean_tools"), F.sum("errors").cast("long").alias("errors"),
+    )
+
+
+def delivery(results: DataFrame, *by: str) -> DataFrame:
+    """Submission rate, accuracy of answers that were submitted, and mean of what was delivered (the rest of A13). Input:
+    submitted, correct (0/1), delivered."""
+    out = results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("submitted").cast("long").alias("submitted"), F.sum(F.col("submitted") * F.col("correct")).cast("long").alias("right"), F.avg("delivered").alias("mean_delivered"))
+    return out.select(*by, "n", ratio(F.col("submitted"), F.col("n")).alias("submission_rate"), ratio(F.col("right"), F.col("submitted")).alias("answer_accuracy"), "mean_delivered")

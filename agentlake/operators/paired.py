@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentlake.operators.order import global_index
 from agentlake.functions.stats import mcnemar
 
 
@@ -40,6 +41,20 @@ def compare(before: DataFrame, after: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def compare_interval(before: DataFrame, after: DataFrame, metric: str, draws: int = 1000) -> DataFrame:
+    """95 % bootstrap interval of the mean delta over questions of all splits (A14 with A17)."""
+    mean = lambda df, name: df.groupBy("split", "uid").agg(F.avg(metric).alias(name))
+    d = mean(before, "b").join(mean(after, "f"), ["split", "uid"]).select("split", "uid", (F.col("f") - F.col("b")).alias("d"))
+    rows = global_index(d, ["split", "uid"], "i")
+    return bootstrap(rows, rows.count(), draws)
+
+
+def question_conflicts(a: DataFrame, b: DataFrame, key: str = "uid", question: str = "question") -> DataFrame:
+    """Keys of both runs under which they ask different questions (F18); must be empty before runs are compared."""
+    both = a.select(key, F.col(question).alias("_a")).join(b.select(key, F.col(question).alias("_b")), key)
+    return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(key).distinct()
+
+
 def hashed(*parts: Column) -> Column:
     """Leading 60 bits of md5 as a number that SQL elsewhere can compute as well."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")

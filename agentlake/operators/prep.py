@@ -88,6 +88,23 @@ def missing(wanted: DataFrame, given: DataFrame, keys: Sequence[str]) -> DataFra
     return wanted.select(*keys).distinct().join(given, list(keys), "left_anti")
 
 
+def stable_key(source: Column, source_id: Column) -> Column:
+    """What names a question across artifacts."""
+    return F.concat_ws(":", source, source_id.cast("string"))
+
+
+def length_order(key: str) -> list[Column]:
+    """Shorter ids first, then by value, so that numbered ids come in order (T-7)."""
+    return [F.length(key), F.col(key)]
+
+
+def unexpected_counts(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys whose number of rows isn't the one wanted (keys, wanted) (F13, F14, F16), none counting as 0."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    both = counts.join(wanted, list(keys), "full_outer").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("wanted", F.lit(0)).cast("long").alias("wanted"))
+    return both.filter("n <> wanted")
+
+
 def unequal_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys on one side only (U5, F14, F16), with the side."""
     left = a.select(key).distinct().withColumn("in_a", F.lit(True))

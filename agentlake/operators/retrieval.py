@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
 from agentlake.operators.order import narrow
 
+#: Queries, documents and vectors that are searched together (they bound a task's memory).
+QUERIES_AT_ONCE, DOCS_AT_ONCE, VECTORS_AT_ONCE = 512, 512, 8192
 MOST_RESULTS, MOST_HITS, MOST_LINES, MOST_NAMES, MOST_CHARS = 20, 40, 400, 250, 32_000
 K1, B = 1.5, 0.75
 
@@ -22,21 +29,79 @@ def terms(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(tx.collapse(F.lower(c)), " ")), lambda t: F.length(t) >= 3)
 
 
+def _best(batches: Iterator[pa.RecordBatch], wanted: list[list[int]], patterns: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best documents (doc_id, low) of a part of the corpus for each query, given its terms as numbers of patterns."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for n, term in enumerate(patterns):
+        machine.add_word(term, n)
+    machine.make_automaton()
+    weights = np.zeros((len(patterns), len(wanted)), dtype=np.float32)
+    for q, terms_ in enumerate(wanted):
+        weights[terms_, q] = 1
+    sizes = np.array([len(x) for x in wanted])
+    ids, hits = np.empty((0, len(wanted)), dtype=np.int64), np.empty((0, len(wanted)), dtype=np.int64)
+    for batch in batches:
+        for first in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(first, DOCS_AT_ONCE)
+            held = np.zeros((part.num_rows, len(patterns)), dtype=np.float32)
+            for i, text in enumerate(part.column(1).to_pylist()):
+                held[i, list({n for _, n in machine.iter(text or "")})] = 1
+            new = np.rint(held @ weights).astype(np.int64)
+            doc_ids = np.repeat(part.column(0).to_numpy()[:, None], len(wanted), axis=1)
+            ids, hits = np.concatenate([ids, doc_ids]), np.concatenate([hits, new])
+            order = np.lexsort((ids, -hits), axis=0)[:k]
+            ids, hits = np.take_along_axis(ids, order, 0), np.take_along_axis(hits, order, 0)
+    at, query = np.nonzero(hits > 0)
+    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[at, query]), pa.array(hits[at, query] / sizes[query])], ["query", "doc_id", "score"])
+
+
 def keyword_rank(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Share of a query's terms that a document holds as substrings; score > 0, ties in document order (R2, F8, T-2).
 
-    docs: doc_id, text. queries: query_id, query, a stated set; each distinct query is searched once (R9) and its terms
-    ride with every block of documents, as substrings have no index.
+    docs: doc_id, text. queries: query_id, query, a stated set, taken in blocks; each distinct query is searched once (R9).
+    One pass over a document finds all terms of a block of queries, and each task passes on the k best of each query only.
     """
+    k = min(max(k, 1), MOST_RESULTS)
     asked = queries.withColumn("terms", terms(F.col("query"))).filter(F.size("terms") > 0)
-    distinct = asked.select("query", "terms").dropDuplicates(["query"])
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    scored = low.join(F.broadcast(distinct)).select("query", "doc_id", (hits / F.size("terms")).alias("score")).filter("score > 0")
-    best = top(scored, "query", [F.desc("score"), F.col("doc_id")], k)
+    distinct = [(r["query"], r["terms"]) for r in asked.select("query", "terms").dropDuplicates(["query"]).orderBy("query").collect()]
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("low"))
+    spark, found = docs.sparkSession, None
+    for first in range(0, max(len(distinct), 1), QUERIES_AT_ONCE):
+        block = distinct[first : first + QUERIES_AT_ONCE]
+        numbers = {t: n for n, t in enumerate(dict.fromkeys(t for _, ts in block for t in ts))}
+        wanted = [[numbers[t] for t in ts] for _, ts in block]
+        named = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(block)], "n long, query string")
+        hits = low.mapInArrow(partial(_best, wanted=wanted, patterns=list(numbers), k=k), "n long, doc_id long, score double")
+        part = hits.join(F.broadcast(named), "n").select("query", "doc_id", "score")
+        found = part if found is None else found.unionByName(part)
+    best = top(found, "query", [F.desc("score"), F.col("doc_id")], k)
     return best.join(asked.select("query_id", "query"), "query").select("query_id", "rank", "doc_id", "score")
 
 
+def holding(docs: DataFrame, items: DataFrame, tokens: Callable[[Column], Column], inner: bool) -> DataFrame:
+    """Candidates (item_id, doc_id, text, item) for items (item_id, item) that documents (doc_id, text) hold as a part.
+
+    An item's rarest token is its key: it must be among the document's tokens, so only postings of the keys are joined.
+    ``inner``: an item may begin and end within a word, so its first and last tokens don't count as keys. Items without
+    a key meet every document; they are counted among the stated set.
+    """
+    parts = F.array_distinct(F.slice(tokens(F.col("item")), 2, F.greatest(F.size(tokens(F.col("item"))) - 2, F.lit(0))) if inner else tokens(F.col("item")))
+    asked = items.select("item_id", "item", F.explode_outer(F.when(F.size(parts) > 0, parts)).alias("token"))
+    wanted = narrow(asked.select("token").filter("token is not null").distinct(), 1_000_000)
+    at = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(wanted, "token", "left_semi")
+    often = at.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    keys = asked.join(often, "token", "left").groupBy("item_id", "item").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token")).alias("key"))
+    keys = keys.select("item_id", "item", F.col("key.token").alias("token"))
+    met = at.join(narrow(keys.filter("token is not null"), 100_000), "token").select("item_id", "item", "doc_id")
+    met = met.join(docs.select("doc_id", "text"), "doc_id")
+    rest = keys.filter("token is null").select("item_id", "item")
+    if rest.limit(1).count():
+        met = met.unionByName(docs.select("doc_id", "text").join(narrow(rest, 1000)).select("doc_id", "item_id", "item", "text"))
+    return met.select("item_id", "doc_id", "text", "item")
+
+
 def words(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -66,15 +131,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scores, "query_id", [F.desc("score"), F.col("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _cosines(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The k best of a slice of vectors for a block of queries."""
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q, v = (np.array(t["embedding"].to_pylist(), dtype=float) for t in (left, right))
+        ids = right["vec_id"].to_numpy()
+        length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = np.round(np.where(length > 0, q @ v.T / length, -np.inf), 6)
+        out: list[list] = [[], [], []]
+        for i, asked in enumerate(left["vec_id"].to_pylist()):
+            order = np.lexsort((ids, -scores[i]))[:k]
+            order = order[np.isfinite(scores[i][order])]
+            out[0] += [asked] * len(order)
+            out[1] += ids[order].tolist()
+            out[2] += scores[i][order].tolist()
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return run
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated query set (query_id, q) against all vectors (vec_id, embedding)."""
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
+    """Exact cosine top-k of a query set (query_id, q) against all vectors (vec_id, embedding) (R6): blocks of queries by
+    slices of vectors, whose lists are merged. Vectors of no length score nothing."""
+    k = min(max(k, 1), MOST_RESULTS)
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    slices = max(1, -(-vectors.count() // VECTORS_AT_ONCE))
+    number = lambda key, n, name: F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = queries.filter("q is not null").select(F.col("query_id").cast("long").alias("vec_id"), F.col("q").cast("array<double>").alias("embedding"), number("query_id", blocks, "block")).select("*", each(slices, "slice"))
+    data = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), number("vec_id", slices, "slice")).select("*", each(blocks, "block"))
+    found = asked.groupBy("block", "slice").cogroup(data.groupBy("block", "slice")).applyInArrow(_cosines(k), "query_id long, vec_id long, score double")
+    return top(found, "query_id", [F.desc("score"), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
 def fused(a: DataFrame, b: DataFrame, key: str, k: int, c: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agentlake.functions import numbers, stats
 from agentlake.functions import text as tx
 from agentlake.operators import chunking, corpus, episodes, evals, paired, prep, retrieval, traces
-from agentlake.operators.order import global_index
+from agentlake.operators.order import global_index, materialise
 from agentlake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,16 +85,16 @@ def corpus_digest(table):
     return corpus.tree_digest(table("documents"), F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256))
 
 
-@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM labels")
+@query("SELECT sha256(string_agg(item_id::VARCHAR, chr(10) ORDER BY item_id)) AS digest, count(*) AS n FROM benchmark")
 def ids_digest(table):
-    return corpus.ordered_digest(table("labels"), F.col("doc_id").cast("string"), [F.col("doc_id")])
+    return corpus.ordered_digest(table("benchmark"), F.col("item_id").cast("string"), [F.col("item_id")])
 
 
 @query("""
-WITH n AS (SELECT lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS name, sha256(text) AS sha FROM documents WHERE lang = 'es')
+WITH n AS (SELECT lpad(item_id::VARCHAR, 12, '0') || '.txt' AS name, sha256(text) AS sha FROM benchmark)
 SELECT sha256(string_agg(name || chr(0) || sha || chr(10), '' ORDER BY name)) AS identity FROM n""")
 def archive_identity(table):
-    files = table("documents").filter("lang = 'es'").select(F.concat(F.lit("x/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("path"), "text")
+    files = table("benchmark").select(F.concat(F.lit("x/"), F.lpad(F.col("item_id").cast("string"), 12, "0"), F.lit(".txt")).alias("path"), "text")
     return corpus.archive_identity(files)
 
 
@@ -106,7 +106,8 @@ def split_overlap(table):
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def contained_benchmark(table):
     items = table("benchmark").select("item_id", F.col("text").alias("item"))  # the stated query set
-    return table("documents").select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item")).select("item_id", "doc_id")
+    met = retrieval.holding(table("documents"), items, lambda c: F.filter(F.split(c, r"[ \t\n\x0b\f\r]+"), lambda t: t != ""), inner=True)
+    return met.filter(F.contains("text", "item")).select("item_id", "doc_id")
 
 
 @query("""
@@ -177,25 +178,27 @@ def train_rows(table):
 
 
 @query(f"""
-WITH a AS (SELECT conv_id, turn, {_normal("text")} AS p, {_normal("regexp_extract(text, '^[^.]*', 0)")} AS g1, {_normal("right(text, 40)")} AS g2 FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT conv_id, turn, {_normal("text")} AS p, {_normal("regexp_extract(text, '^[^.]*', 0)")} AS g1, {_normal("regexp_extract(text, '[^.]*.?$', 0)")} AS g2 FROM conversations WHERE role = 'assistant'),
 t AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pt, [list_filter(string_split(g1, ' '), lambda x: x <> ''), list_filter(string_split(g2, ' '), lambda x: x <> '')] AS gs FROM a),
 f AS (SELECT *, list_max(list_transform(gs, lambda g: CASE WHEN len(pt) = 0 OR len(g) = 0 THEN (len(pt) = len(g))::INT::DOUBLE ELSE
       2.0 * coalesce(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) / (len(pt) + len(g)) END)) AS f1 FROM t)
 SELECT conv_id, turn, (p = g1 OR p = g2) AS em, ((g1 <> '' AND contains(p, g1)) OR (g2 <> '' AND contains(p, g2))) AS cover, round(f1, 9) AS f1 FROM f""")
 def squad_metrics(table):
     rows = table("conversations").filter("role = 'assistant'")
-    golds = F.array(F.regexp_extract("text", r"^[^.]*", 0), F.right("text", F.lit(40)))
+    golds = F.array(F.regexp_extract("text", r"^[^.]*", 0), F.regexp_extract("text", r"[^.]*.?$", 0))
     return rows.select("conv_id", "turn", tx.exact_match(F.col("text"), golds).alias("em"), tx.cover_match(F.col("text"), golds).alias("cover"), F.round(tx.token_f1(F.col("text"), golds), 9).alias("f1"))
 
 
 @query(f"""
-WITH d AS (SELECT ' ' || {_normal('text')} || ' ' AS t FROM documents), i AS (SELECT item_id, {_normal("array_to_string(string_split(text, ' ')[1:3], ' ')")} AS g FROM benchmark)
+WITH d AS (SELECT ' ' || {_normal('text')} || ' ' AS t FROM documents), i AS (SELECT item_id, {_normal("text")} AS g FROM benchmark)
 SELECT item_id, count(*) FILTER (g <> '' AND contains(t, ' ' || g || ' ')) AS n_docs FROM i, d GROUP BY item_id""")
 def gold_surfaced(table):
-    items = table("benchmark").select("item_id", tx.normalise_answer(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("g"))
-    docs = table("documents").select(F.explode(F.array(F.concat(F.lit(" "), tx.normalise_answer("text"), F.lit(" ")))).alias("t"))  # once a document
-    found = docs.join(F.broadcast(items)).select("item_id", ((F.col("g") != "") & F.contains("t", F.concat(F.lit(" "), "g", F.lit(" ")))).alias("hit"))
-    return found.groupBy("item_id").agg(F.count_if("hit").alias("n_docs"))
+    items = table("benchmark").select("item_id", tx.normalise_answer("text").alias("item"))
+    docs = table("documents").select("doc_id", tx.normalise_answer("text").alias("text"))
+    met = retrieval.holding(materialise(docs, "normal"), items.filter("item <> ''"), lambda c: F.split(c, " "), inner=False)
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    found = met.filter(F.contains(spaced("text"), spaced("item"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS answer, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -277,17 +280,16 @@ def wilson_by_key(table):
 
 
 @query("""
-WITH r AS (SELECT user_id, value > 34 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
-g AS (SELECT user_id, count(*) AS n, count(*) FILTER (ok) AS c FROM r WHERE r <= 8 GROUP BY 1 HAVING count(*) = 8)
-SELECT (SELECT count(DISTINCT user_id) FROM events) AS questions, count(*) AS fully_scored, coalesce(sum(c), 0)::BIGINT AS successes, round(avg(c / 8.0), 9) AS pass_1,
-       round(avg(CASE WHEN 8 - c < 3 THEN 1.0 ELSE 1 - ((8-c)*(7-c)*(6-c)) / (8*7*6.0) END), 9) AS pass_3, count(*) FILTER (c > 0 AND c < 8) AS mixed, count(*) FILTER (c = 0) AS zero, count(*) FILTER (c = 8) AS "all" FROM g""")
+WITH g AS (SELECT doc_id, 4 AS n, quality + (1 - toxic) + (doc_id % 3 = 0)::INT + (n_chars > 700)::INT AS c FROM labels JOIN documents USING (doc_id))
+SELECT count(*) AS questions, count(*) AS fully_scored, coalesce(sum(c), 0)::BIGINT AS successes, round(avg(c / 4.0), 9) AS pass_1,
+       round(avg(CASE WHEN 4 - c < 3 THEN 1.0 ELSE 1 - ((4-c)*(3-c)*(2-c)) / (4*3*2.0) END), 9) AS pass_3, count(*) FILTER (c > 0 AND c < 4) AS mixed, count(*) FILTER (c = 0) AS zero, count(*) FILTER (c = 4) AS "all" FROM g""")
 def pass_at_k(table):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table("events").withColumn("r", F.row_number().over(w)).filter("r <= 8")
-    rows = rows.select(F.col("user_id").alias("uid"), (F.col("value") > 34).cast("double").alias("reward"), F.lit("scored").alias("status"))
-    return evals.summary(rows, 8).withColumn("pass_1", F.round("pass_1", 9)).withColumn("pass_3", F.round("pass_3", 9))
+    """Four samples of each labelled document."""
+    rows = table("labels").join(table("documents").select("doc_id", "n_chars"), "doc_id")
+    samples = F.array(F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 3 == 0, F.col("n_chars") > 700)
+    rows = rows.select(F.col("doc_id").alias("uid"), F.explode(samples).alias("ok"))
+    rows = rows.select("uid", F.col("ok").cast("double").alias("reward"), F.lit("scored").alias("status"))
+    return evals.summary(rows, 4).withColumn("pass_1", F.round("pass_1", 9)).withColumn("pass_3", F.round("pass_3", 9))
 
 
 @query("""
@@ -302,15 +304,15 @@ def mcnemar_pairs(table):
 
 
 @query("""
-WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 <> 1)
-SELECT coalesce(quality::VARCHAR, 'none') AS before, coalesce(toxic::VARCHAR, 'none') AS after, count(*) AS n, min(coalesce(a.doc_id, b.doc_id)) AS first FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1, 2""")
+WITH a AS (SELECT c_custkey AS uid, (c_acctbal > 0)::INT AS ok FROM customer), b AS (SELECT o_custkey + 5 AS uid, max((o_orderstatus = 'F')::INT) AS ok FROM orders GROUP BY 1)
+SELECT coalesce(a.ok::VARCHAR, 'none') AS before, coalesce(b.ok::VARCHAR, 'none') AS after, count(*) AS n, min(coalesce(a.uid, b.uid)) AS first FROM a FULL JOIN b ON a.uid = b.uid GROUP BY 1, 2""")
 def paired_transitions(table):
-    """Two runs that each miss a third of the questions."""
-    labels = table("labels")
-    a, b = labels.filter("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("correct")), labels.filter("doc_id % 3 <> 1").select("doc_id", F.col("toxic").alias("correct"))
-    pairs = paired.aligned(a, b, "doc_id")
-    pairs = pairs.select("doc_id", F.coalesce(F.col("base").cast("string"), F.lit("none")).alias("before"), F.coalesce(F.col("final").cast("string"), F.lit("none")).alias("after"))
-    return paired.transitions(pairs, "before", "after", "doc_id")
+    """Two runs that each miss some of the other's questions."""
+    a = table("customer").select(F.col("c_custkey").alias("uid"), (F.col("c_acctbal") > 0).cast("int").alias("correct"))
+    b = table("orders").groupBy((F.col("o_custkey") + 5).alias("uid")).agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("correct"))
+    pairs = paired.aligned(a, b, "uid")
+    pairs = pairs.select("uid", F.coalesce(F.col("base").cast("string"), F.lit("none")).alias("before"), F.coalesce(F.col("final").cast("string"), F.lit("none")).alias("after"))
+    return paired.transitions(pairs, "before", "after", "uid")
 
 
 @query("""
@@ -423,8 +425,7 @@ def first_resolved(table):
 
 # --- retrieval ---
 
-_FIRST5 = "array_to_string(string_split(text, ' ')[1:5], ' ')"
-_TERMS = f"list_filter(list_distinct(string_split({_collapse(f'lower({_FIRST5})')}, ' ')), lambda t: length(t) >= 3)"
+_TERMS = f"list_filter(list_distinct(string_split({_collapse('lower(text)')}, ' ')), lambda t: length(t) >= 3)"
 _KEYWORD = f"""
 q AS (SELECT item_id AS query_id, {_TERMS} AS ts FROM benchmark), d AS (SELECT doc_id, lower(text) AS low FROM documents),
 s AS (SELECT query_id, doc_id, len(list_filter(ts, lambda t: contains(low, t))) / len(ts)::DOUBLE AS score FROM q, d WHERE len(ts) > 0),
@@ -433,14 +434,14 @@ _BM25 = """
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents),
 x AS (SELECT doc_id, len(ws) AS len, unnest(ws) AS token FROM w), i AS (SELECT token, doc_id, len, count(*) AS tf FROM x GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(ws)) FROM w WHERE len(ws) > 0) AS mean),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:5], ' ')), '[a-z0-9]+')) AS token FROM benchmark),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
 f AS (SELECT token, count(*) AS df FROM i GROUP BY token),
 b AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 9) AS score FROM qt JOIN i USING (token) JOIN f USING (token), st GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM b WHERE score > 0)"""
 
 
 def _benchmark_queries(table):
-    return table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query"))
+    return table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {_KEYWORD} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM k WHERE rank <= 5")
@@ -464,11 +465,11 @@ def hybrid_rrf(table):
 
 @query("""
 WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 6) AS score
-           FROM embeddings q, embeddings d WHERE q.vec_id < 10),
+           FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def vector_topk(table):
-    asked = table("embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = table("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.vector_top(table("embeddings"), asked, 5)
 
 
