@@ -5,8 +5,8 @@ are summed up: of its queries, a cell i has the greatest distance r from its piv
 greatest distance R and how many there are. For a data vector v every query q of cell i has p.v - r|v| <= q.v <= p.v + r|v|;
 the (k+1)-th greatest lower bound over all data is reached by k others than the query itself. Data of cell j can matter to
 cell i only if p_i.p_j + |p_i| R_j + r_i (|p_j| + R_j) reaches that far, and of it only the vectors whose own upper bound
-does; these are counted and sent. Cells are solved in blocks of queries by slices of the data sent to them, so a hot cell
-is many tasks, and the slices' lists are merged.
+does; these are counted and sent. Neighbouring cells of few queries are solved together, so no vector is sent to more than
+a unit of them; a hot cell is many blocks of queries and slices of the data sent to it, whose lists are merged.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from agentlake.llm.shared import materialise
 
 #: Queries in a block and data vectors in a slice that are solved together (both bound a task's memory).
 QUERIES_AT_ONCE, DATA_AT_ONCE = 512, 8192
+#: Vectors that a task sends on at once.
+ROWS_AT_ONCE = 16_384
 #: Largest sum of products that doubles hold exactly.
 EXACT = 2**53
 
@@ -98,41 +100,78 @@ def _bounds(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.nd
 
 @dataclass
 class Plan:
-    """What tasks need to know of all cells; arrays of at most ``most_pivots`` rows (and columns)."""
+    """What tasks need to know of all cells; arrays of at most ``most_pivots`` rows (and columns).
+
+    Cells are solved in units: neighbouring cells of few queries share one, so that a vector is sent to them once, and a
+    cell of many queries is a unit of its own in several blocks.
+    """
 
     pivots: np.ndarray
     radius: np.ndarray  # of a cell's queries
     floor: np.ndarray  # lower bound of a cell's k-th score
-    blocks: np.ndarray  # of a cell's queries
     meets: np.ndarray  # (data cell, query cell): whether data of the one can matter to the other
+    unit: np.ndarray  # of each cell
+    blocks: np.ndarray  # of queries, of each unit
 
     def wanted(self, batch: pa.RecordBatch) -> np.ndarray:
-        """(data, cells): which vectors (vec_id, v, cell, distance) go to which cells' queries."""
+        """(data, cells): which vectors (vec_id, v, cell, distance) can matter to which cells' queries."""
         centre, slack = _reach(matrix(batch.column(1).to_pylist(), self.pivots.shape[1]), self.pivots, self.radius)
-        return (centre + slack >= self.floor[None, :]) & self.meets[batch.column(2).to_numpy()] & (self.blocks > 0)[None, :]
+        return (centre + slack >= self.floor[None, :]) & self.meets[batch.column(2).to_numpy()]
+
+    def sent(self, wanted: np.ndarray) -> np.ndarray:
+        """(data, units): which vectors go to which units."""
+        out = np.zeros((len(wanted), len(self.blocks)), dtype=bool)
+        for cell, unit in enumerate(self.unit):
+            out[:, unit] |= wanted[:, cell]
+        return out
+
+
+def units(pivots: np.ndarray, n_queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's unit, and the units' blocks: from a cell on to the nearest left while their queries fit into a block."""
+    unit, blocks = np.zeros(len(pivots), dtype=np.int64), []
+    p, left = pivots.astype(float), set(range(len(pivots)))
+    at, room = 0, 0
+    while left:
+        near = min(left, key=lambda c: (float(((p[c] - p[at]) ** 2).sum()), c))
+        if not blocks or n_queries[near] > room:
+            blocks.append(max(1, -(-int(n_queries[near]) // most)))
+            room = most if blocks[-1] == 1 else 0
+        unit[near] = len(blocks) - 1
+        room -= min(room, int(n_queries[near]))
+        left.remove(near)
+        at = near
+    return unit, np.array(blocks, dtype=np.int64)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    sent = np.zeros(len(plan.pivots), dtype=np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            sent += plan.wanted(batch).sum(0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sent), dtype=np.int32)), pa.array(sent)], ["cell", "sent"])
+def _counted(batches: Iterator[pa.RecordBatch], plan: Plan, n_queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Vectors sent to each unit, and pairs of vectors and queries that they make (at unit -1)."""
+    sent, pairs = np.zeros(len(plan.blocks), dtype=np.int64), 0
+    for batch in pieces(batches):
+        wanted = plan.wanted(batch)
+        sent += plan.sent(wanted).sum(0)
+        pairs += int((wanted.sum(0) * n_queries).sum())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(sent), dtype=np.int32)), pa.array(np.concatenate([[pairs], sent]))], ["unit", "sent"])
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, slices: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each data vector for each block of queries of each cell that it can matter to."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        row, cell = np.nonzero(plan.wanted(batch))
-        times = plan.blocks[cell]
-        row, cell = np.repeat(row, times), np.repeat(cell, times)
-        block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    """Each data vector for each block of queries of each unit that it can matter to."""
+    for batch in pieces(batches):
+        rows, units_ = np.nonzero(plan.sent(plan.wanted(batch)))
+        times = plan.blocks[units_]
+        rows, units_ = np.repeat(rows, times), np.repeat(units_, times)
+        blocks = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
         ids = batch.column(0).to_numpy()
-        at = pa.array(row)
-        part = (ids[row] * 0x9E3779B1 & 0x7FFFFFFF) % slices[cell]
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "block", "slice", "vec_id", "v"])
+        for a in range(0, len(rows), ROWS_AT_ONCE):
+            row, unit, block = (x[a : a + ROWS_AT_ONCE] for x in (rows, units_, blocks))
+            part = (ids[row] * 0x9E3779B1 & 0x7FFFFFFF) % slices[unit]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["unit", "block", "slice", "vec_id", "v"])
 
 
 def _solved(left: pa.Table, right: pa.Table, k: int, dims: int) -> pa.Table:
@@ -160,17 +199,15 @@ def _solved(left: pa.Table, right: pa.Table, k: int, dims: int) -> pa.Table:
 
 @dataclass
 class Voronoi:
-    """data and queries (vec_id, v, cell, distance), the plan, and how many vectors go to each cell."""
+    """data and queries (vec_id, v, cell, distance), the plan, how many vectors go to each unit, and how many pairs of a
+    vector and a query the bounds leave of all."""
 
     data: DataFrame
     queries: DataFrame
-    n_data: int
     plan: Plan
     sent: np.ndarray
-
-    def share(self) -> float:
-        """Pairs of data vectors and blocks of queries that are solved, of all such pairs."""
-        return float((self.sent * self.plan.blocks).sum() / max(1, self.n_data * self.plan.blocks.sum()))
+    pairs: int
+    all_pairs: int
 
 
 CELLS = "vec_id long, v binary, cell int, distance double"
@@ -205,11 +242,10 @@ def grouped(vectors: DataFrame, k: int, every: int, scale: int, most_pivots: int
     p = pivots.astype(float)
     norm = np.sqrt((p**2).sum(1))
     most = p @ p.T + norm[None, :] * reach[:, None] + radius[None, :] * (norm + reach)[:, None]
-    plan = Plan(pivots, radius, floor, -(-n_queries // QUERIES_AT_ONCE), most * (1 + np.sign(most) * 1e-9) + 1e-3 >= floor[None, :])
-    sent = np.zeros(m, dtype=np.int64)
-    for r in data.mapInArrow(partial(_counted, plan=plan), "cell int, sent long").groupBy("cell").agg(F.sum("sent")).collect():  # a row per pivot
-        sent[r[0]] = r[1]
-    return Voronoi(data, queries, size[0], plan, sent)
+    plan = Plan(pivots, radius, floor, (most * (1 + np.sign(most) * 1e-9) + 1e-3 >= floor[None, :]) & (n_queries > 0)[None, :], *units(pivots, n_queries, QUERIES_AT_ONCE))
+    counts = data.mapInArrow(partial(_counted, plan=plan, n_queries=n_queries), "unit int, sent long").groupBy("unit").agg(F.sum("sent"))
+    counted = {r[0]: r[1] for r in counts.collect()}  # a row per unit
+    return Voronoi(data, queries, plan, np.array([counted.get(u, 0) for u in range(len(plan.blocks))]), counted.get(-1, 0), size[0] * int(n_queries.sum()))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, most_pivots: int = 256) -> DataFrame:
@@ -226,11 +262,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, mos
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     plan, dims = found.plan, found.plan.pivots.shape[1]
     slices = np.maximum(1, -(-found.sent // DATA_AT_ONCE))
-    sent = found.data.mapInArrow(partial(_dealt, plan=plan, slices=slices), "cell int, block int, slice int, vec_id long, v binary")
-    of_cell = lambda x: F.element_at(F.array(*(F.lit(int(n)) for n in x)), F.col("cell") + 1)
-    block = F.pmod(F.xxhash64("vec_id", "v"), of_cell(np.maximum(plan.blocks, 1))).cast("int")
-    asked = found.queries.filter(of_cell(found.sent > 0) == 1).withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), of_cell(slices) - 1)))
-    key = ["cell", "block", "slice"]
+    sent = found.data.mapInArrow(partial(_dealt, plan=plan, slices=slices), "unit int, block int, slice int, vec_id long, v binary")
+    among = lambda x, column: F.element_at(F.array(*(F.lit(int(n)) for n in x)), F.col(column) + 1)
+    asked = found.queries.withColumn("unit", among(plan.unit, "cell")).filter(among(found.sent > 0, "unit") == 1)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), among(plan.blocks, "unit")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), among(slices, "unit") - 1)))
+    key = ["unit", "block", "slice"]
     solved = asked.select(*key, "vec_id", "v").groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(partial(_solved, k=k, dims=dims), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return solved.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -164,9 +164,22 @@ def test_top_k_sends_less_than_all(spark):
     x = r.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2000)], "vec_id long, embedding array<double>")
-    assert topk.grouped(df, 5, 50, 256, 256).share() < 0.5
+    found = topk.grouped(df, 5, 50, 256, 256)
+    assert found.all_pairs == 2000 * 40 and 40 * 6 <= found.pairs < 0.5 * found.all_pairs
+    # vectors are sent to units, never more often than there are blocks of queries
+    assert len(found.plan.blocks) == 1 and found.sent.max() <= 2000
     few = topk.grouped(df, 5, 50, 256, 8)
-    assert len(few.plan.pivots) == 8 and few.share() <= 1
+    assert len(few.plan.pivots) == 8 and found.pairs <= few.pairs <= few.all_pairs
+
+
+def test_top_k_units():
+    r = np.random.default_rng(2)
+    n = np.array([3, 0, 9, 25, 4, 4, 1, 10])
+    unit, blocks = topk.units(r.normal(size=(8, 3)), n, 10)
+    for u, b in enumerate(blocks):
+        inside = n[unit == u]
+        assert b == 1 and inside.sum() <= 10 or b == -(-inside.max() // 10) and inside.sum() == inside.max()
+    assert set(unit) == set(range(len(blocks)))
 
 
 def test_sharding(docs, rows, none):
