@@ -2,16 +2,19 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words and the share of them in links, the
 same of the blocks before and after it, and what its enclosing elements say: inside an article or main element, or
-inside page furniture (by tag, role, class or id). The tree is trained when first used, on the blocks of a few
+inside page furniture (by tag, role, class or id; elements around the article itself say nothing). The tree is trained when first used, on the blocks of a few
 labelled pages below.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,13 @@ from pyspark.sql import functions as F
 
 #: Elements whose edges end a block.
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the second set ends, if they are the nearest block open.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FURNITURE = frozenset("nav header footer aside form menu dialog button select noscript template head title label search".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog select noscript template head title label search".split())
 ARTICLE = frozenset(("article", "main"))
 #: Words of class, id and role that name page furniture.
 HINTS = frozenset(
@@ -34,6 +37,14 @@ HINTS = frozenset(
     "discussion disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
     "related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Words with which a class states a property of an element that is something else: no-sidebar, comments-open.
+STATES = frozenset("no not non has have with without open closed enabled disabled allowed on off".split())
+#: Furniture that stays so whatever it holds, and words that name readers' text, articles in it included.
+FIXED = frozenset("nav header footer aside menu dialog".split())
+READERS = frozenset("comment comments commentlist discussion disqus reply replies respond related".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: A form of at least so many blocks of so many words, with over half of the page's words, is the page's frame.
+FRAME_BLOCKS, FRAME_WORDS = 2, 15
 #: Elements left out with all they hold, up to their first end tag. Without one, those of SCRIPT reach to the end of the
 #: page, as in browsers; a self-closing or unclosed one of the others holds nothing.
 SCRIPT = frozenset(("script", "style"))
@@ -49,47 +60,74 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|di
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "article_on_page")
 
 
-def _says(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(article, furniture) for an element."""
-    article, furniture = tag in ARTICLE, tag in FURNITURE
+@dataclass
+class Hinted:
+    """An element that looks like furniture: by its tag alone, or for readers' text; ``around``: it holds the article."""
+
+    tag: str
+    readers: bool
+    around: bool = False
+
+
+class Open(NamedTuple):
+    """An open element with what it and those around it say: in an article, in which hinted elements, in a heading."""
+
+    tag: str
+    article: bool
+    hinted: tuple[Hinted, ...]
+    heading: bool
+
+
+def _says(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(article, furniture, readers' text) for an element."""
+    article, furniture, readers = tag in ARTICLE, tag in FURNITURE, False
     if attrs.strip():
         for name, a, b, c in NAMED.findall(attrs):
             value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c).lower()
-            words = re.split(r"[^a-z]+", value)
-            article |= name.lower() == "role" and value == "main" or value == "articlebody"
-            furniture |= tag not in ("html", "body") and not HINTS.isdisjoint(words)
+            article |= name.lower() == "role" and value == "main" or value.replace(" ", "") == "articlebody"
+            for token in value.split():
+                words = {w for w in re.split(r"[^a-z]+", token) if w}
+                if words & HINTS and not words & STATES and tag not in ("html", "body"):
+                    furniture, readers = True, readers or bool(words & READERS)
         furniture |= bool(HIDDEN.search(attrs))
-    return article, furniture
+    return article, furniture, readers
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, article, furniture) for each block with text, in page order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements with what they and those around them say
+    found: list[tuple[str, int, int, int, Open]] = []
+    stack: list[Open] = []
     held: list[str] = []
-    linked: list[str] = []
-    links = 0
+    inside: dict[str, list[str]] = {"a": [], "button": []}
+    depth = {"a": 0, "button": 0}
+    nothing = Open("", False, (), False)
+
+    def add(text: str) -> None:
+        held.append(text)
+        for name, n in depth.items():
+            if n > 0:
+                inside[name].append(text)
 
     def flush() -> None:
         words = " ".join(html.unescape("".join(held)).split()) if held else ""
         if words:
-            inside = stack[-1] if stack else ("", False, False)
-            out.append((words, words.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), inside[1], inside[2]))
+            linked, pressed = (len(html.unescape(" ".join(inside[name])).split()) for name in ("a", "button"))
+            found.append((words, words.count(" ") + 1, linked, pressed, stack[-1] if stack else nothing))
         held.clear()
-        linked.clear()
+        for x in inside.values():
+            x.clear()
 
     def close(at: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[at:])
+        for x in stack[at:]:
+            if x.tag in depth:
+                depth[x.tag] -= 1
         del stack[at:]
 
     at = 0
     unclosed: set[str] = set()  # names of RAW without an end tag in the rest of the page
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            held.append(page[at : m.start()])
-            if links > 0:
-                linked.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -109,29 +147,51 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             held.append(" ")
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     close(k)
                     break
-                if not block and stack[k][0] in BLOCK:
+                if not block and stack[k].tag in BLOCK:
                     break
             continue
         if block:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in IMPLIED.get(tag, ()):
+                if stack[k].tag == "p" or stack[k].tag in IMPLIED.get(tag, ()):
                     close(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k].tag in BLOCK:
                     break
         if tag not in VOID and tag not in RAW and not m["attrs"].endswith("/"):
-            around = stack[-1] if stack else ("", False, False)
-            says = _says(tag, m["attrs"])
-            stack.append((tag, around[1] or says[0], around[2] or says[1]))
-            links += tag == "a"
+            around = stack[-1] if stack else nothing
+            article, furniture, readers = _says(tag, m["attrs"])
+            hinted = (*around.hinted, Hinted(tag, readers)) if furniture else around.hinted
+            stack.append(Open(tag, around.article or article, hinted, around.heading or tag in HEADINGS))
+            if tag in depth:
+                depth[tag] += 1
+            if article and not furniture or tag == "h1":
+                for x in around.hinted:
+                    x.around |= x.tag == "form" or article and x.tag not in FIXED and not x.readers
     if at < len(page):
-        held.append(page[at:])
-        if links > 0:
-            linked.append(page[at:])
+        add(page[at:])
     flush()
+    return _judged(found)
+
+
+def _judged(found: list[tuple[str, int, int, int, Open]]) -> list[tuple[str, int, int, bool, bool]]:
+    words = sum(x[1] for x in found)
+    forms: dict[int, tuple[Hinted, int, int]] = {}
+    for _, n, links, _, at in found:
+        for x in at.hinted:
+            if x.tag == "form":
+                _, total, large = forms.get(id(x), (x, 0, 0))
+                forms[id(x)] = x, total + n, large + (n - links >= FRAME_WORDS)
+    for x, total, large in forms.values():
+        x.around |= 2 * total > words and large >= FRAME_BLOCKS
+    out = []
+    for text, n, links, pressed, at in found:
+        left = [x for x in at.hinted if not x.around]
+        # an article's own header holds its headline
+        headline = at.article and at.heading and all(x.tag == "header" and not x.readers for x in left)
+        out.append((text, n, links, at.article, pressed >= n or bool(left) and not headline))
     return out
 
 
@@ -184,13 +244,54 @@ LABELLED_PAGES = (
     "<p>*A short page.</p>",
     f"<div class=banner>{_LONG}.</div><p>*It was cold.</p><p>*{_LONG}.</p>",
     f"<article><header>The Valley Post</header><p>*{_LONG}.</p><footer>Filed under weather</footer></article><nav>{_NAV}</nav>",
+    f"<form id=aspnet><div>{_NAV}</div><h1>*A framed page</h1><p>*{_LONG}.</p><p>*Rain came.</p><p>*{_LONG}, {_LONG}.</p><div class=footer>Terms of use</div></form>",
+    f"<div class='page no-sidebar'><nav>{_NAV}</nav><article class='post comments-open'><header><h1>*On dikes</h1><p>By a writer, {_LONG}</p></header><p>*{_LONG}.</p><p>*Press <button>stop</button> to end it.</p><div class=comments><article><p>Well said, {_LONG}.</p></article></div></article></div>",
+    f"<article><h1>*Short</h1><p>*{_LONG}.</p><p>*The end.</p></article>",
+    "<article><p>*One.</p><p>*Two.</p></article>",
+    f"<nav>{_NAV}</nav><main><p>*{_LONG}.</p><p>*{_LONG}, {_LONG}.</p></main>",
+    "<article>*word</article>",
+    f"<div class=header><h1>The Hill Gazette</h1></div><div><h2>*Snow on the pass</h2><p>*{_LONG}.</p><p>*{_LONG}, {_LONG}.</p></div><div class='related'><h2>More</h2><p>{_LONG}.</p></div>",
 )
 
 
+def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+    """More of the labelled table, made by rule: articles in and without elements of their own, of paragraphs of any
+    length, lists and links, framed by elements that hold all of the page, between every kind of furniture."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abdeiklmnorstu", k=k)) for k in (2, 3, 4, 5, 6, 7, 9) for _ in range(40)]
+    some = lambda k: " ".join(r.choices(vocabulary, k=k))
+    links = lambda k: "<ul>" + "".join(f"<li><a href=/{i}>{some(r.choice([1, 2, 3]))}</a></li>" for i in range(k)) + "</ul>"
+    block = lambda tag, k: f"<{tag}>{some(k)}.</{tag}>"
+    size = lambda: int(2 ** r.uniform(0, 7))  # noqa: E731 - any length, wherever the text stands
+    pages = []
+    for _ in range(n):
+        home = r.choice(["article", "main", "div role=main", "div itemprop=articleBody", "article class='post comments-open'", "div", "div", ""])
+        own = home not in ("div", "")
+        text = [f"<h1>*{some(r.randrange(1, 9))}</h1>"] if r.random() < 0.8 else []
+        text[:0] = [f"<header>{text.pop()}<p>{some(4)}</p></header>"] if text and own and r.random() < 0.3 else []
+        for _ in range(r.randrange(2, 8)):
+            k = size() if own else r.randrange(4, 120)
+            text.append(f"<p>*{some(k)} " + (f"<a href=x>{some(max(1, k // 8))}</a> {some(k)}" if k > 7 and r.random() < 0.3 else "") + ".</p>")
+            if own and r.random() < 0.2:
+                text.append(r.choice([f"<ul><li>*{some(3)}</li><li>*<a href=y>{some(2)}</a></li></ul>", f"<aside>{block('p', size())}</aside>", f"<div class='share-tools'>{links(3)}</div>", f"<p>*<a href=z>{some(5)}</a></p>"]))
+        body = "".join(text)
+        if own and r.random() < 0.3:
+            body += f"<div id=comments><p>{some(size())}.</p><article class=comment>{block('p', size())}</article></div>"
+        body = f"<{home}>{body}</{home.split()[0]}>" if home else body
+        above = r.sample([f"<nav>{links(5)}</nav>", f"<div>{links(6)}</div>", f"<div class=ad>{some(size())}</div>", f"<header>{block('h2', 3)}</header>", f"<div class='cookie-notice'>{block('p', size())}</div>", f"<div id=menu>{links(4)}</div>", f"<div class=header><h1>{some(3)}</h1></div>"], r.randrange(0, 4))
+        below = r.sample([f"<footer>{some(size())}</footer>", f"<div>{links(5)}</div>", f"<div class=sidebar>{block('p', size())}</div>", f"<section class=related><article>{block('p', size())}</article></section>", f"<form>{block('p', size())}</form>", f"<div class='footer-area'>{some(size())}</div>", *([f"<div>{block('p', size())}</div>", f"<div>{block('p', size())}</div>"] if own else [])], r.randrange(0, 4))
+        page = "".join(above) + body + "".join(below)
+        if own and r.random() < 0.3:
+            open_, close = r.choice([("<div class='page no-sidebar'>", "</div>"), ("<form id=f>", "</form>"), ("<div class='widget wrap'>", "</div>")])
+            page = open_ + page + close
+        pages.append(page)
+    return pages
+
+
 @cache
 def trained_tree() -> tuple:
     x, y = [], []
-    for page in LABELLED_PAGES:
+    for page in (*LABELLED_PAGES, *labelled_pages()):
         marked = text_blocks(page)
         x.append(features([(t.lstrip("*"), *rest) for t, *rest in marked]))
         y += [b[0].startswith("*") for b in marked]

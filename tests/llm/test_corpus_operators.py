@@ -296,6 +296,25 @@ def test_html_elements_left_out_end_where_they_end():
     assert said("<article><p>One.</p><script>no <p>Two.</p></article>") == "One."
 
 
+def test_html_elements_around_the_article():
+    said = lambda page: html_text.main_text(page, html_text.trained_tree())
+    text = "Long ago the river ran north of the old town and nobody knew who had turned it."
+    main, want = f"<h1>Rivers</h1><p>{text}</p><p>Short.</p><p>{text} {text}</p>", f"Rivers\n{text}\nShort.\n{text} {text}"
+    nav = "<nav><ul><li><a href=a>Home</a><li><a href=b>All news</a></ul></nav>"
+    for before, after in (
+        ('<div class="page no-sidebar">', "</div>"), ("<form action=x>", "</form>"), ('<div class="layout has-banner"><form>', "</form></div>"),
+        ('<section class="with-menu">', "</section>"), ('<div class="widget-area">', "</div>"),
+    ):
+        assert said(f"{nav}{before}<article>{main}</article>{after}<footer>Imprint of the paper</footer>") == want, before
+    assert said(f"{nav}<form>{main}</form>") == want
+    assert said(f'{nav}<article class="post comments-open">{main}</article>') == want
+    assert said(f"{nav}<article><header><h1>Rivers</h1><p>By someone</p></header><p>{text}</p></article>") == f"Rivers\n{text}"
+    assert said(f"<article><p>Press <button>stop</button> to end. {text}</p><button>Share this</button></article>") == f"Press stop to end. {text}"
+    # what they were there to keep out stays out
+    for kept_out in ("<div class='sidebar'>", "<form>", "<div class=comments><article>", "<section id=related-posts>", "<aside><article>", "<header>", "<div hidden>", "<div class='cookie-notice'>"):
+        assert said(f"{nav}<article>{main}</article>{kept_out}<p>{text}</p>") == want, kept_out
+
+
 def test_html_tree_on_other_pages():
     """Held-out pages of other make: what is marked * is main text."""
     r = random.Random(4)
