@@ -12,6 +12,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from agentlake.llm import components as cc
@@ -531,6 +532,52 @@ def test_packing_plans(seed):
     assert max(fill.values()) <= 4096 and sum(fill.values()) == sum(lengths) and len(fill) <= sum(lengths) / 4096 * 1.03 + 1
 
 
+def test_toxicity_scores_against_one_text_at_a_time(spark, docs, rows):
+    """The chain on word sets made by Python, with a model of a few inputs."""
+    prefixes = (3, 4, 5, 6)
+    seen = sorted({w for r in rows[:40] for w in re.findall(r"\w+", (r[1] or "").lower())})[:30]
+    inputs = {x: n for n, x in enumerate(dict.fromkeys([f"=:{w}" for w in seen] + [f"3:{w[:3]}" for w in seen if len(w) > 3]))}
+    r = np.random.default_rng(1)
+    model = toxicity.Model(toxicity.Settings(), inputs, [-0.2, -1.0], [np.zeros(0), np.array([1.5])], r.normal(size=(2, len(inputs))), [0.5, 0.4])
+    want = Counter()
+    for row in rows:
+        c = Counter()
+        for w in set(re.findall(r"\w+", (row[1] or "").lower())):
+            c.update(inputs[x] for x in [f"=:{w}", *(f"{k}:{w[:k]}" for k in prefixes if k < len(w))] if x in inputs)
+        p = []
+        for k in range(2):
+            z = model.intercepts[k] + sum(model.weights[k][i] * np.log1p(n) for i, n in c.items()) + sum(a * b for a, b in zip(p, model.chained[k], strict=True))
+            p.append(1 / (1 + np.exp(-z)))
+        want[row[0], round(p[0], 6), round(p[1], 6), bool(p[1] >= 0.4)] += 1
+    got = toxicity.score(docs, model).collect()
+    assert Counter((g["doc_id"], round(g["p_low_quality"], 6), round(g["p_toxic"], 6), g["toxic"]) for g in got) == want
+    assert toxicity.without_toxic(docs, model).count() == sum(n for (*_, toxic), n in want.items() if not toxic)
+
+
+def test_sharding_against_one_list(spark):
+    """All rows in one list, cut at equal bytes; a small group of equal texts isn't parted."""
+    r = random.Random(6)
+    texts = [r.choice([None, "", "same " * r.randrange(1, 4), "x" * r.randrange(4000)]) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t or "", 42))
+    line = sorted((key(t), i, len((t or "").encode()) + 16) for i, t in enumerate(texts))
+    total, at, cut = sum(x[2] for x in line), 0, []
+    for _, _, size in line:
+        cut.append(min(39, at * 40 // total))
+        at += size
+    groups = defaultdict(list)
+    for x, c in zip(line, cut, strict=True):
+        groups[x[0]].append((x[2], c))
+    want, slots = {}, Counter()
+    for (k, i, _), c in zip(line, cut, strict=True):
+        whole = sum(s for s, _ in groups[k]) <= 0.01 * total / 40
+        shard = min(c for _, c in groups[k]) if whole else c
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+    got = {g["doc_id"]: (g["shard"], g["slot"]) for g in sharding.shard_by_bytes(docs).collect()}
+    assert got == want
+
+
 def test_toxicity(spark, none):
     r = random.Random(5)
     plain = ["".join(r.choices("abcdefghij", k=5)) for _ in range(200)]
