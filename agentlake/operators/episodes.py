@@ -10,6 +10,7 @@ from agentlake.functions.structured import report
 
 OBSERVATION = "observation_id string, `order` int, tool string, args map<string,string>, outcome string, generated_by_request int, delivered_to_request int, delivered_text string"
 COMPUTE_TOOLS = ("run_code", "calculator", "compute")
+# Fixed value: what counts as a number in a claim.
 NUMBER = r"\$?\d{1,3}(?:,\d{3})+(?:\.\d+)?|\$?\d+\.\d+|\$?\d+"
 SCALES = (1.0, 1e3, 1e-3, 1e6, 1e-6, 1e9, 1e-9)
 

@@ -47,7 +47,7 @@ def release() -> None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
         except Exception:  # the session has ended; the folder belongs to the cluster
-            return
+            continue
 
 
 atexit.register(release)

@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions.arrow import arrow
@@ -64,13 +64,26 @@ def csv_strings(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files. A line's number is its place in its part of the file and the lines of the
+    parts before; a part is what one task reads at once, so nothing larger meets in one task."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_seq"), "value")
+    parts = rows.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("file", "_part").orderBy("_seq"))
+    placed = rows.withColumn("_at", inside).join(parts.withColumn("_before", before).drop("_n"), ["file", "_part"])
+    return placed.select("file", (F.col("_before") + F.col("_at")).alias("line"), "value")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, unique: str | None = None) -> DataFrame:
     """JSON lines without blank ones (S7, S8). A bad line, an empty source or a repeated key is an error that says where."""
     lines = spark.read.text(path).filter("trim(value) <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = lines.select(F.col("_metadata.file_path").alias("_file"), "value", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("v"))
-    if worst := parsed.filter("v._corrupt_record is not null").limit(1).collect():
-        raise Rejected(f"{worst[0]['_file']}: not JSON: {worst[0]['value'][:120]}")
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("v"))
+    if parsed.filter("v._corrupt_record is not null").limit(1).count():
+        told = numbered_lines(spark, path).filter("trim(value) <> ''").withColumn("v", F.from_json("value", f"{schema}, _corrupt_record string", options))
+        worst = told.filter("v._corrupt_record is not null").orderBy("file", "line").first()
+        raise Rejected(f"{worst['file']}:{worst['line']}: not JSON: {worst['value'][:120]}")
     df = parsed.select("v.*").drop("_corrupt_record")
     if not df.limit(1).count():
         raise Rejected(f"{path} is empty")
@@ -119,7 +132,7 @@ def titles(spark: SparkSession, path: str) -> DataFrame:
 
 def embedded_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects inside log lines (S17): line, value of lines that hold one; other lines drop out."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.regexp_extract("value", r"\{.*\}", 0).alias("json"))
+    rows = numbered_lines(spark, path).select("file", "line", F.regexp_extract("value", r"\{.*\}", 0).alias("json"))
     return rows.filter(F.expr("try_parse_json(json) is not null and json <> ''")).withColumn("value", F.from_json("json", schema)).drop("json")
 
 
@@ -152,9 +165,9 @@ HARD_ERRORS = r"(?i)traceback \(most recent call last\)|out of memory|CUDA error
 
 
 def hard_errors(spark: SparkSession, path: str, pattern: str = HARD_ERRORS, most: int = 5, width: int = 300) -> DataFrame:
-    """The first few failure lines of a log, clipped."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
-    return rows.filter(F.col("value").rlike(pattern)).orderBy("line").limit(most).select("line", F.substring("value", 1, width).alias("value"))
+    """The first few failure lines of logs by file and line, clipped."""
+    rows = numbered_lines(spark, path)
+    return rows.filter(F.col("value").rlike(pattern)).orderBy("file", "line").limit(most).select("file", "line", F.substring("value", 1, width).alias("value"))
 
 
 def json_directory(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:

@@ -162,6 +162,11 @@ def replace_block(text: str, name: str, body: str) -> str:
     return f"{head}{start}\n{body}\n{end}{rest.partition(end)[2]}"
 
 
+def stale_block(text: str, name: str, body: str) -> bool:
+    """Whether the part between the markers of ``name`` isn't ``body`` any more."""
+    return replace_block(text, name, body) != text
+
+
 def markdown_table(df: DataFrame) -> str:
     """A small result as a Markdown table."""
     rows = [[str(v) for v in r] for r in df.collect()]

@@ -101,3 +101,27 @@ def test_tables(spark):
         sinks.ensure_table(spark, "t_twice", lambda: df.union(df), "id", {"sha": "1"})
     assert not spark.catalog.tableExists("t_twice") and sinks.table_problems(df, df.schema, "id", 3) == ["count"]
     spark.sql("DROP TABLE t_ensure")
+
+
+def test_lines_have_numbers(spark, tmp_path):
+    """In every file, also where it is read in several parts; blank lines count."""
+    text = {"a.log": ["x", "", "RuntimeError: one", "y"], "b.log": [f"line {i} " + "z" * 50 for i in range(400)] + ["Traceback (most recent call last)", 'said {"k": 1} and', 'said {"k": 2}']}
+    for name, lines in text.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in readers.numbered_lines(spark, str(tmp_path)).collect())
+        errors = [(r["file"].rsplit("/", 1)[1], r["line"]) for r in readers.hard_errors(spark, str(tmp_path)).collect()]
+        found = readers.embedded_json(spark, str(tmp_path), "k int")
+        assert {r["line"]: r["value"]["k"] for r in found.collect()} == {402: 1, 403: 2} and [r["value"]["k"] for r in readers.last_value(found).collect()] == [2]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((name, i, x) for name, lines in text.items() for i, x in enumerate(lines, 1)) and errors == [("a.log", 3), ("b.log", 401)]
+    (tmp_path / "bad.jsonl").write_text('{"uid": "a"}\n\n{"uid": \n')
+    with pytest.raises(Exception, match="bad.jsonl:3: not JSON"):
+        readers.json_lines(spark, f"{tmp_path}/bad.jsonl", "uid string")
+
+
+def test_stale_block():
+    text = "x\n<!-- t:start -->\nold\n<!-- t:end -->\ny"
+    assert sinks.stale_block(text, "t", "new") and not sinks.stale_block(sinks.replace_block(text, "t", "new"), "t", "new")
