@@ -20,6 +20,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,19 +151,37 @@ def _lines(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa
 LINES = "doc_id long, place long, line_no int, line long, buckets array<bigint>"
 
 
+def _held(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit values of (place in the list, shingle), and each value's place."""
+    h, owner, _ = shingles(texts, k)
+    with np.errstate(over="ignore"):
+        values = mix_in_place(h + owner.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    values, first = np.unique(values, return_index=True)
+    return values, owner[first]
+
+
+def similar(a: list[bytes], b: list[bytes], settings: Settings) -> np.ndarray:
+    """Whether lines at the same place are links, by their full sets of shingles."""
+    (x, of_x), (y, of_y) = _held(a, settings.characters), _held(b, settings.characters)
+    sizes = np.bincount(of_x, minlength=len(a)) + np.bincount(of_y, minlength=len(a))
+    if not len(x) or not len(y):
+        return np.zeros(len(a), dtype=bool)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = np.bincount(of_y[x[at] == y], minlength=len(a))
+    return 100 * both >= settings.percent * np.maximum(1, sizes - both)
+
+
 @tidy
 def _verified(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
-        kept: tuple = (None, None)  # pairs come in runs of one line
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if kept[0] != y:
-                kept = (y, set(shingles([y], settings.characters)[0].tolist()))
-            s, t = set(shingles([x], settings.characters)[0].tolist()), kept[1]
-            both = len(s & t)
-            ok.append(100 * both >= settings.percent * max(1, len(s) + len(t) - both))
-        ok = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(size, (int(size[first - 1]) if first else 0) + LINE_BLOCK_BYTES, side="right")))
+            part = batch.slice(first, last - first)
+            ok = pa.array(similar(part.column(2).to_pylist(), part.column(3).to_pylist(), settings))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+            first = last
 
 
 def _shared(h: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
