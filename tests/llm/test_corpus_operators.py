@@ -532,6 +532,21 @@ def test_packing_plans(seed):
     assert max(fill.values()) <= 4096 and sum(fill.values()) == sum(lengths) and len(fill) <= sum(lengths) / 4096 * 1.03 + 1
 
 
+def test_similar_lines_against_python_sets():
+    r, settings = random.Random(1), line_dedup.Settings()
+    a, b = [], []
+    for _ in range(1500):
+        x = "".join(r.choices("abc dé", k=r.randrange(14, 90)))
+        y = list(x)
+        for _ in range(r.randrange(0, 4)):
+            y[r.randrange(len(y))] = r.choice("abcz")
+        a.append(x.encode())
+        b.append("".join(y).encode())
+    held = lambda t: {t.decode()[i : i + 7] for i in range(len(t.decode()) - 6)}
+    want = [100 * len(held(x) & held(y)) >= 85 * max(1, len(held(x) | held(y))) for x, y in zip(a, b, strict=True)]
+    assert line_dedup.similar(a, b, settings).tolist() == want and 200 < sum(want) < 1300
+
+
 def test_toxicity_scores_against_one_text_at_a_time(spark, docs, rows):
     """The chain on word sets made by Python, with a model of a few inputs."""
     prefixes = (3, 4, 5, 6)
