@@ -74,6 +74,21 @@ def mix_in_place(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of all windows of k codes, from those of windows half as long."""
+    whole, length, power, doubled = None, 0, 0x100000001B3, 1
+    with np.errstate(over="ignore"):
+        while True:
+            if k & 1:
+                whole = codes if whole is None else whole[: len(codes) - length] * U(power) + codes[length:]
+                length += doubled
+            k >>= 1
+            if not k:
+                return whole[: len(codes)] if whole is not codes else codes.copy()
+            codes = codes[:-doubled] * U(power) + codes[doubled:]
+            power, doubled = power * power % (1 << 64), 2 * doubled
+
+
 def shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of all lines, each shingle's line, and the lines' numbers of characters."""
     texts = [x.decode("utf-8", "replace") for x in lines]
@@ -82,12 +97,7 @@ def shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(flat) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), sizes
-    acc = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            acc *= U(0x100000001B3)
-            acc += flat[j : j + n]
-        mix_in_place(acc)
+    acc = mix_in_place(rolled(flat.astype(np.uint64), k))
     line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
     inside = line[:n] == line[k - 1 :]
     return acc[inside], line[:n][inside], sizes
