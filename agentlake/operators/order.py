@@ -35,17 +35,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/agentlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._agentlake_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
+def release_table(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df`` (that very frame), as soon as nothing reads it any more."""
+    for entry in [e for e in _written if e[1] == getattr(df, "_agentlake_path", None)]:
+        _written.remove(entry)
+        _delete(*entry)
 
 
 def release() -> None:
     """Delete the tables written so far; results that still read them must have been consumed."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended; the folder belongs to the cluster
             continue
 
