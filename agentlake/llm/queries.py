@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, runs, sharding, topk, toxicity, url_filter
+from agentlake.llm import clustering, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, runs, sharding, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    named = F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", named)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_topk": op2_topk,
@@ -85,8 +91,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_clustering": op12_clustering,
 }
 
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """k-means round by round: a row for each component, all vectors compared with all centroids."""
+    assign = """a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, [d, c]) AS c, min(d) AS d FROM
+        (SELECT e.vec_id, m.c, sum((e.x - m.x) * (e.x - m.x))::BIGINT AS d FROM e JOIN m{r} m USING (dim) GROUP BY 1, 2) GROUP BY 1)"""
+    move = """m{n} AS MATERIALIZED (SELECT m.c, m.dim, coalesce((s.x - ((s.x % s.n) + s.n) % s.n) // s.n, m.x)::BIGINT AS x FROM m{r} m LEFT JOIN
+        (SELECT c, dim, sum(x)::BIGINT AS x, count(*) AS n FROM a{r} JOIN e USING (vec_id) GROUP BY 1, 2) s USING (c, dim))"""
+    steps = [assign.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, n=r + 1), assign.format(r=r + 1)]
+    return f"""
+        WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS dim, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM v),
+        s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM v),
+        m0 AS MATERIALIZED (SELECT c::INT AS c, dim, x FROM s JOIN e USING (vec_id) WHERE c < {k}),
+        {", ".join(steps)},
+        h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS named FROM m{rounds} GROUP BY c)
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, named AS centroid_sha256
+        FROM a{rounds} JOIN h USING (c)"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,6 +140,7 @@ ORACLE_SQL: dict[str, str] = {
         links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         reached(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT id, b FROM reached JOIN links ON a = other)
         SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM n JOIN reached ON id = doc_id GROUP BY doc_id, n""",
+    "op12_clustering": _lloyd_sql(),
     "op10_url_filter": f"""
         WITH rest AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
         parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.operators.order import materialise, narrow, release, shared_dir, with_prefix
+from agentlake.operators.order import materialise, narrow, release, release_table, shared_dir, with_prefix
 
-__all__ = ["hot_join", "materialise", "narrow", "release", "shared_dir", "text_or_empty", "with_prefix"]
+__all__ = ["hot_join", "materialise", "narrow", "release", "release_table", "shared_dir", "text_or_empty", "with_prefix"]
 
 
 def text_or_empty(name: str = "text") -> Column:
