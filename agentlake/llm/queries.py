@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import clustering, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, runs, sharding, topk, toxicity, url_filter
+from agentlake.llm import clustering, exact_dedup, hash_forest, html_text, line_dedup, mixing, near_dedup, packing, runs, sharding, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", named)
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_topk": op2_topk,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_clustering": op12_clustering,
+    "op13_neighbours": op13_neighbours,
 }
 
 
