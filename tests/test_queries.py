@@ -23,7 +23,7 @@ def plain(rows):
 
 
 def test_queries_equal_sql(spark, duck):
-    from agentlake.plans import more_queries  # noqa: F401 - adds its own
+    from agentlake.plans import index_queries, more_queries  # noqa: F401 - add their own
     from agentlake.plans.queries import ORACLE_SQL, QUERIES
 
     wrong = []
