@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
 from agentlake.functions.structured import report
+from agentlake.operators.tolerance import near, near_pairs
 
 OBSERVATION = "observation_id string, `order` int, tool string, args map<string,string>, outcome string, generated_by_request int, delivered_to_request int, delivered_text string"
 COMPUTE_TOOLS = ("run_code", "calculator", "compute")
@@ -64,21 +65,19 @@ def claimed_numbers(c: Column) -> Column:
 
 def present(value: Column, delivered: Column) -> Column:
     """Whether a number is among others under some scale, within 1e-6."""
-    near = lambda d, t: (d == t) | ((t != 0) & (F.abs(d - t) <= F.abs(t) * 1e-6))
     return F.exists(F.array(*map(F.lit, SCALES)), lambda s: F.exists(delivered, lambda d: near(d, value * s)))
 
 
 def fabricated_steps(reports: DataFrame, observations: DataFrame, leaves_only: bool = False) -> DataFrame:
-    """(episode_id, step) whose claim states a number that no delivered observation holds (Q6). ``leaves_only``: skip steps
+    """(episode_id, step) whose claim states a number that no delivered observation of the episode holds (Q6, J8). ``leaves_only``: skip steps
     with dependencies, as the library rule does; the scoring rule looks at them too."""
-    told = observations.filter("delivered").select("episode_id", F.explode(numbers(F.col("delivered_text"))).alias("v"))
-    told = told.groupBy("episode_id").agg(F.collect_set("v").alias("told"))
+    told = observations.filter("delivered").select("episode_id", F.explode(numbers(F.col("delivered_text"))).alias("number"))
     kinds = observations.select("episode_id", F.col("observation_id").alias("observation"), "compute")
     look = steps(reports).join(kinds, ["episode_id", "observation"]).filter("not compute")
     look = look.filter(F.size("depends_on") == 0) if leaves_only else look
-    claims = look.withColumn("claimed", claimed_numbers(F.col("claim"))).join(told, "episode_id", "left")
-    told_or_none = F.coalesce("told", F.array().cast("array<double>"))
-    return claims.filter(F.exists("claimed", lambda v: ~present(v, told_or_none))).select("episode_id", F.col("id").alias("step"))
+    claims = look.select("episode_id", F.col("id").alias("step"), F.explode(claimed_numbers(F.col("claim"))).alias("value"))
+    held = near_pairs(claims, told, by=["episode_id"], scales=SCALES).select("episode_id", "value")
+    return claims.join(held, ["episode_id", "value"], "left_anti").select("episode_id", "step").distinct()
 
 
 def rewarded(reports: DataFrame, observations: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.operators import inverted_index, vector_index
+from agentlake.operators import episodes, inverted_index, tolerance, vector_index
 from agentlake.operators.order import shared_dir
-from agentlake.plans.queries import _BM25, _benchmark_queries, query
+from agentlake.plans.queries import _BM25, _NUM, _benchmark_queries, query
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -38,3 +38,19 @@ def vector_ann(table):
     index = vector_index.build(vectors, _folder(vectors, "cells"))
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return vector_index.search(index, asked, 5, vector_index.probes_for(index, asked, 5))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, generate_subscripts(ts, 1)::INT AS nth, unnest(ts) AS token FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{_NUM}'), lambda t:
+      NOT (regexp_matches(t, '^\\d{{4}}$') AND t BETWEEN '1900' AND '2099') AND (regexp_matches(t, '[,.$]') OR regexp_matches(t, '^\\d{{3}}'))) AS ts FROM documents)),
+c AS (SELECT doc_id, nth, translate(token, '$,', '')::DOUBLE AS value FROM t), d AS (SELECT DISTINCT value FROM c),
+p AS (SELECT number, count(*) AS n FROM (SELECT translate(unnest(regexp_extract_all(html, '{_NUM}')), '$,', '')::DOUBLE AS number FROM pages) GROUP BY 1),
+m AS (SELECT value, count(*) AS n_values, sum(n)::BIGINT AS n_mentions FROM d JOIN p ON len(list_filter([1.0::DOUBLE, 1e3, 1e-3, 1e6, 1e-6, 1e9, 1e-9], lambda s: number = value * s OR (value <> 0 AND abs(number - value * s) <= abs(value * s) * 1e-6))) > 0 GROUP BY 1)
+SELECT doc_id, nth, value, coalesce(n_values, 0) AS n_values, coalesce(n_mentions, 0) AS n_mentions FROM c LEFT JOIN m USING (value)""")
+def claims_supported(table):
+    """Each number that a document claims, and how many numbers of pages it agrees with under seven scales, and how often those stand there."""
+    claims = table("documents").select("doc_id", F.posexplode(episodes.claimed_numbers(F.col("text"))).alias("at", "value"))
+    said = table("pages").select(F.explode(episodes.numbers(F.col("html"))).alias("number"))
+    pairs = tolerance.near_pairs(claims, said, scales=episodes.SCALES).join(said.groupBy("number").agg(F.count(F.lit(1)).alias("n")), "number")
+    found = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_mentions"))
+    return claims.join(found, "value", "left").select("doc_id", (F.col("at") + 1).alias("nth"), "value", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))
