@@ -206,7 +206,9 @@ def grow(vectors: DataFrame, k: int, every: int, settings: Settings) -> Forest |
 
 def descend(forest: Forest, least: int) -> tuple[DataFrame, DataFrame]:
     """(query_id, level, total) of how many entries share a prefix with each query, and (node, n) of the nodes counted.
-    Only queries with ``least`` entries at a level are followed to the next."""
+
+    A level at which no tree alone has ``least`` entries counts as empty: what several trees hold may be the same few.
+    Only queries that have them are followed to the next level."""
     totals, nodes, alive = [], [], forest.queries.select("query_id", "keys")
     for level in range(1, forest.settings.depth + 1):
         at = alive.select("query_id", F.explode("keys").alias("key")).select("query_id", forest.node(F.col("key"), level).alias("node"))
@@ -214,7 +216,7 @@ def descend(forest: Forest, least: int) -> tuple[DataFrame, DataFrame]:
         if level > 1:
             entries = entries.join(narrow(at.select("node").distinct(), MOST_NODES), "node", "left_semi")
         counted = materialise(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")), f"nodes{level}")
-        total = materialise(at.join(counted, "node").groupBy("query_id").agg(F.lit(level).alias("level"), F.sum("n").alias("total")), f"totals{level}")
+        total = materialise(at.join(counted, "node").groupBy("query_id").agg(F.lit(level).alias("level"), F.when(F.max("n") >= least, F.sum("n")).otherwise(0).alias("total")), f"totals{level}")
         nodes.append(counted)
         totals.append(total)
         alive = alive.join(total.filter(F.col("total") >= least).select("query_id"), "query_id", "left_semi")

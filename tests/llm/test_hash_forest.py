@@ -79,6 +79,15 @@ def test_copies_ties_and_odd_rows(spark):
     assert list(two) == [20] and sorted(i for i, _ in two[20]) == [21, 22]
 
 
+def test_few_near_copies_are_not_enough(spark):
+    """A query whose close company is one near copy, which all trees hold, still gets all of its k."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 16))
+    x[1::20] = x[::20] + 1e-6 * r.normal(size=(200, 16))
+    got = searched(table(spark, np.arange(4000), x, "double"), k=10, settings=hash_forest.Settings(trees=16, goal=0.3, axes=16))
+    assert len(got) == 200 and all(len(found) == 10 for found in got.values())
+
+
 def test_repeated_id_counts_once(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (2, [-1.0, 0.0])]
     got = searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, settings=ALL)
