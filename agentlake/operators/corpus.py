@@ -107,6 +107,29 @@ def tree_digest(df: DataFrame, row: Column, digits: int = 4) -> DataFrame:
     return leaves.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
 
 
+#: Hex digits of a row digest that are summed at once; sums of 10**18 rows stay within 38 decimal digits.
+PART = 16
+
+
+def multiset_sums(row: Column) -> list[Column]:
+    """Aggregates n and s0 .. s3 of row digests (64 hex digits): their number, and the sums of their quarters as integers.
+    Sums combine in any order, so they fit a partial aggregate and the metrics of a writing job."""
+    quarter = lambda i: F.conv(F.substring(row, PART * i + 1, PART), 16, 10).cast("decimal(20,0)")
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(quarter(i)).alias(f"s{i}") for i in range(4))]
+
+
+def summed_digest(sums) -> str:
+    """sha256 of what ``multiset_sums`` gave (a mapping or row)."""
+    return hashlib.sha256(",".join(str(int(sums[c] or 0)) for c in ("n", "s0", "s1", "s2", "s3")).encode()).hexdigest()
+
+
+def multiset_digest(df: DataFrame, row: Column) -> DataFrame:
+    """An order-independent digest of row digests for tables of any size, in one partial aggregate: digest, n. Repeated
+    rows count. It notices changes and faults; it isn't meant to withstand rows made to collide."""
+    listed = F.concat_ws(",", "n", *(F.coalesce(F.col(f"s{i}").cast("decimal(38,0)"), F.lit(0)) for i in range(4)))
+    return df.agg(*multiset_sums(row)).select(F.sha2(listed.cast("binary"), 256).alias("digest"), "n")
+
+
 def archive_identity(files: DataFrame) -> DataFrame:
     """sha256 over sorted lines ``basename NUL sha256(text)`` of files (path, text) (K10). Repeated basenames fail."""
     named = files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.sha2("text", 256).alias("sha"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agentlake.operators import episodes, inverted_index, tolerance, vector_index
 from agentlake.operators.order import shared_dir
 from agentlake.plans.queries import _BM25, _NUM, _benchmark_queries, query
+from agentlake.sources import sinks
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -54,3 +55,20 @@ def claims_supported(table):
     pairs = tolerance.near_pairs(claims, said, scales=episodes.SCALES).join(said.groupBy("number").agg(F.count(F.lit(1)).alias("n")), "number")
     found = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_mentions"))
     return claims.join(found, "value", "left").select("doc_id", (F.col("at") + 1).alias("nth"), "value", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))
+
+
+_SUMMED = """
+SELECT '{0}' AS name, count(*) AS rows, sha256(concat_ws(',', count(*), sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT))) AS sha256
+FROM (SELECT sha256({1}::VARCHAR || chr(31) || coalesce({2}, '')) AS h FROM {0})"""
+
+
+@query(" UNION ALL ".join(_SUMMED.format(*x) for x in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))))
+def tables_recorded(table):
+    """Tables written with the record that their writing jobs observed."""
+    out = []
+    for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        df = table(name)
+        row = F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.coalesce(text, F.lit(""))), 256)
+        record = sinks.write_recorded(df, _folder(df, name), name, row)
+        out.append((record["name"], record["rows"], record["sha256"]))
+    return df.sparkSession.createDataFrame(out, "name string, rows long, sha256 string")

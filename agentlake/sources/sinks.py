@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from agentlake.operators.corpus import tree_digest
+from agentlake.operators.corpus import multiset_digest, multiset_sums, summed_digest
 
 
 class _Files:
     """Small files next to tables, by the file system that Spark uses for the path."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.path = self.jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs = self.path.getFileSystem(self.conf)
 
     def exists(self) -> bool:
         return self.fs.exists(self.path)
@@ -34,18 +37,31 @@ class _Files:
             stream.close()
 
     def write(self, text: str, overwrite: bool) -> None:
-        """Written beside and renamed, so a reader sees the old file or the new one."""
-        beside = self.jvm.org.apache.hadoop.fs.Path(str(self.path.toString()) + ".partial")
+        """Written beside and renamed in one step of the file system, so a reader sees the old file or the new one, and of
+        several writers that may not overwrite one wins."""
+        fs, uri = self.jvm.org.apache.hadoop.fs, self.path.toUri()
+        beside = fs.Path(f"{self.path.toString()}.{uuid.uuid4().hex}.partial")
         stream = self.fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists():
-            if not overwrite:
-                self.fs.delete(beside, False)
-                raise FileExistsError(str(self.path.toString()))
-            self.delete()
-        if not self.fs.rename(beside, self.path):
-            raise OSError(f"could not publish {self.path.toString()}")
+        how = self.gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.OVERWRITE if overwrite else fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(uri, self.conf).rename(beside, self.path, how)
+        except Exception as e:
+            self.fs.delete(beside, False)
+            if "FileAlreadyExistsException" in str(e):
+                raise FileExistsError(str(self.path.toString())) from None
+            raise
+
+    def size(self) -> int:
+        """Bytes of the data files below."""
+        files, total = self.fs.listFiles(self.path, True), 0
+        while files.hasNext():
+            file = files.next()
+            if not str(file.getPath().getName()).startswith(("_", ".")):
+                total += file.getLen()
+        return total
 
 
 def write_json(spark: SparkSession, path: str, value: object, overwrite: bool = False) -> None:
@@ -58,21 +74,34 @@ def read_json(spark: SparkSession, path: str) -> object | None:
     return json.loads(file.read()) if file.exists() else None
 
 
+def _row(df: DataFrame) -> Column:
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+
+
 def output_record(df: DataFrame, name: str) -> dict:
-    """name, rows and content digest of a table (K2): one pass."""
-    row = tree_digest(df, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)).first()
-    return {"name": name, "rows": row["n"] or 0, "sha256": row["digest"]}
+    """name, rows and content digest of a table that is there: one pass."""
+    row = multiset_digest(df, _row(df)).first()
+    return {"name": name, "rows": row["n"], "sha256": row["digest"]}
+
+
+def write_recorded(df: DataFrame, path: str, name: str, row: Column | None = None) -> dict:
+    """Write a table as Parquet and return its record: name, rows, bytes, sha256 (K2).
+
+    Rows and digest are metrics that the writing job observes, bytes come from the file system's listing; the table isn't
+    read again. The digest doesn't depend on order or files, so ``output_record`` of the table read later gives the same. ``row``: another digest of a row (64 hex digits).
+    """
+    seen = Observation(name)
+    df.observe(seen, *multiset_sums(_row(df) if row is None else row)).write.mode("overwrite").parquet(path)
+    sums = seen.get
+    return {"name": name, "rows": sums["n"], "bytes": _Files(df.sparkSession, path).size(), "sha256": summed_digest(sums)}
 
 
 def write_tables(spark: SparkSession, folder: str, tables: dict[str, DataFrame], tool: str, sources: Sequence[dict] = (), versions: dict | None = None) -> dict:
-    """Tables as Parquet and a manifest (K1 - K3). The old manifest goes first and the new one comes last, so a manifest
-    always describes complete data; each table's files commit as a job."""
+    """Tables as Parquet and a manifest (K1 - K3), a job a table. The old manifest goes first and the new one comes last, so
+    a manifest always describes complete data; each table's files commit as a job."""
     at = f"{folder}/DATA_MANIFEST.json"
     _Files(spark, at).delete()
-    outputs = []
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        outputs.append(output_record(spark.read.parquet(f"{folder}/{name}.parquet"), name))
+    outputs = [write_recorded(df, f"{folder}/{name}.parquet", name) for name, df in tables.items()]
     manifest = {"schema": "agentlake.manifest.v1", "tool": tool, "created_utc": datetime.now(UTC).isoformat(), "versions": versions or {"spark": spark.version}, "sources": list(sources), "outputs": outputs}
     write_json(spark, at, manifest, overwrite=True)
     return manifest
@@ -146,11 +175,32 @@ def index_state(status: DataFrame, expected: int) -> DataFrame:
     return status.withColumn("ready", F.when(s.rlike("FAILED|OFFLINE_FAILED"), "failed").when(ready, "ready").otherwise("pending"))
 
 
-def write_parts(df: DataFrame, path: str, key: str) -> None:
-    """A closed JSON part for each key (K8, K16, M7): safe names, appended, finished ones stay."""
+def write_parts(df: DataFrame, path: str, key: str, batch: int | None = None) -> None:
+    """A closed JSON part for each key (K8, K16, M7), with a safe name; finished keys stay as they are.
+
+    Each call writes a folder of its own, ``batch`` or the next number. Keys that another batch has finished are left out,
+    and a batch that is written again replaces itself, so a call that was cut off or repeated gives each key once.
+    """
     from agentlake.functions.text import safe_name
 
-    df.withColumn("part", safe_name(key)).write.mode("append").partitionBy("part").json(path)
+    spark = df.sparkSession
+    rows = df.withColumn("part", safe_name(key))
+    if _Files(spark, path).exists():
+        done = spark.read.schema(StructType([df.schema[key], StructField("batch", LongType())])).json(path)
+        if batch is None:
+            batch = (done.agg(F.max("batch")).first()[0] or 0) + 1
+        rows = rows.join(done.filter(F.col("batch") != batch).select(key).distinct(), key, "left_anti")
+    rows.select(*df.columns, "part").repartition("part").write.mode("overwrite").partitionBy("part").json(f"{path}/batch={batch or 0}")
+
+
+def parts_of(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes parts under the stream's own batch numbers, so a batch that ran before a
+    restart is replaced, not repeated."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_parts(batch, path, key, batch_id)
+
+    return write
 
 
 def replace_block(text: str, name: str, body: str) -> str:

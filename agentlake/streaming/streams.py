@@ -65,41 +65,131 @@ def failure_stream(events: DataFrame, **bounds) -> DataFrame:
     return events.groupBy("worker").transformWithStateInPandas(FailureWindow(**bounds), FAILURES, "Update", "None")
 
 
-# --- M2: a group comes out when all its samples are there ---
+# --- M2: a group comes out when all its samples are there, or when its time is up ---
 
-GROUPS = StructType([StructField("group", StringType()), StructField("n", IntegerType()), StructField("mean", DoubleType()), StructField("mixed", BooleanType())])
+GROUPS = StructType([StructField("group", StringType()), StructField("n", IntegerType()), StructField("mean", DoubleType()), StructField("mixed", BooleanType()), StructField("complete", BooleanType())])
 
 
 class GroupCompletion(StatefulProcessor):
-    """Count, sum, least and greatest reward of an unfinished group; repeats of a sample don't count."""
+    """The rewards of an unfinished group; repeats of a sample don't count.
 
-    def __init__(self, samples: int):
-        self.samples = samples
+    A group has one timer, ``timeout`` after its first sample by event time. Until then a finished group is remembered, so
+    repeats don't open it again; then all of its state goes, and an unfinished one comes out incomplete. Samples that come
+    later still are behind the watermark.
+    """
+
+    def __init__(self, samples: int, timeout_ms: int):
+        self.samples, self.timeout = samples, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", StructType([StructField("sample", IntegerType())]), StructType([StructField("reward", DoubleType())]))
-        self.done = handle.getValueState("done", StructType([StructField("done", BooleanType())]))
+        self.state = handle.getValueState("state", StructType([StructField("done", BooleanType()), StructField("ends", LongType())]))
+
+    def _told(self, key, complete: bool) -> pd.DataFrame:
+        rewards = [v[0] for _, v in self.seen.iterator()]
+        return pd.DataFrame({"group": [key[0]], "n": [len(rewards)], "mean": [sum(rewards) / len(rewards)], "mixed": [min(rewards) < max(rewards)], "complete": [complete]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
-            return
+        done, ends = self.state.get() if self.state.exists() else (False, None)
+        n = 0 if done else sum(1 for _ in self.seen.iterator())
         for batch in rows:
+            if ends is None:
+                ends = int(batch["ts"].min().timestamp() * 1000) + self.timeout
+                self.handle.registerTimer(ends)
             for sample, reward in zip(batch["sample"], batch["reward"], strict=True):
-                if not self.seen.containsKey((int(sample),)):
+                if not done and not self.seen.containsKey((int(sample),)):
                     self.seen.updateValue((int(sample),), (float(reward),))
-        rewards = [v[0] for _, v in self.seen.iterator()]
-        if len(rewards) >= self.samples:
-            self.seen.clear()
-            self.done.update((True,))
-            yield pd.DataFrame({"group": [key[0]], "n": [len(rewards)], "mean": [sum(rewards) / len(rewards)], "mixed": [min(rewards) < max(rewards)]})
+                    n += 1
+                    if n == self.samples:
+                        yield self._told(key, True)
+                        self.seen.clear()
+                        done = True
+        self.state.update((done, ends))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done, _ = self.state.get()
+        if not done:
+            yield self._told(key, False)
+        self.seen.clear()
+        self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-def completed_groups(rewards: DataFrame, samples: int) -> DataFrame:
-    """Append stream of complete groups from rewards (group, sample, reward)."""
-    return rewards.groupBy("group").transformWithStateInPandas(GroupCompletion(samples), GROUPS, "Append", "None")
+def completed_groups(rewards: DataFrame, samples: int, timeout_s: float = 3600, lateness: str = "1 minute") -> DataFrame:
+    """Append stream of groups from rewards (group, sample, reward, ts): complete ones as soon as ``samples`` are there (the
+    first that came), others when ``timeout_s`` has passed since their first sample (M2). State of a group ends with it."""
+    timed = rewards.withWatermark("ts", lateness).groupBy("group")
+    return timed.transformWithStateInPandas(GroupCompletion(samples, int(timeout_s * 1000)), GROUPS, "Append", "EventTime")
+
+
+# --- M1: samples made by parameters of bounded age, and when parameters are synchronised ---
+
+CONSUMED = StructType([StructField(n, StringType() if n == "run" else LongType()) for n in ("run", "accepted", "stale", "version", "syncs")])
+
+
+class Staleness:
+    """Consumption of one run's samples in order: a sample is stale if its parameters are more than ``bound`` versions
+    behind; every ``per_sync`` accepted samples the parameters are synchronised and their version goes up."""
+
+    def __init__(self, per_sync: int, bound: int, accepted: int = 0, stale: int = 0):
+        self.per_sync, self.bound, self.accepted, self.stale = per_sync, bound, accepted, stale
+
+    @property
+    def version(self) -> int:
+        return self.accepted // self.per_sync
+
+    def take(self, made_by: int) -> bool:
+        fresh = self.version - made_by <= self.bound
+        self.accepted, self.stale = self.accepted + fresh, self.stale + (not fresh)
+        return fresh
+
+    def row(self, run: str) -> pd.DataFrame:
+        return pd.DataFrame({"run": [run], "accepted": [self.accepted], "stale": [self.stale], "version": [self.version], "syncs": [self.version]})
+
+
+class Consumption(StatefulProcessor):
+    def __init__(self, per_sync: int, bound: int):
+        self.per_sync, self.bound = per_sync, bound
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counts", StructType([StructField("accepted", LongType()), StructField("stale", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = Staleness(self.per_sync, self.bound, *(self.state.get() if self.state.exists() else ()))
+        for made_by in pd.concat(list(rows)).sort_values("seq")["parameter_version"]:  # of a micro-batch, whose size the source bounds
+            now.take(int(made_by))
+        self.state.update((now.accepted, now.stale))
+        yield now.row(key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def sample_files(spark: SparkSession, path: str, files_at_once: int) -> DataFrame:
+    """Samples (run, seq, parameter_version) as producers write them, at most so many files a trigger: the queue's bound."""
+    return spark.readStream.schema("run string, seq long, parameter_version long").option("maxFilesPerTrigger", files_at_once).parquet(path)
+
+
+def consumed(samples: DataFrame, trigger: int, require: int, mini: int, bound: int) -> DataFrame:
+    """Update stream of each run's counts from samples (run, seq, parameter_version) (M1): accepted, stale (dropped),
+    version, syncs. A synchronisation takes trigger * require * mini samples."""
+    per_sync = trigger * require * mini
+    return samples.groupBy("run").transformWithStateInPandas(Consumption(per_sync, bound), CONSUMED, "Update", "None")
+
+
+def consumed_batch(samples: DataFrame, trigger: int, require: int, mini: int, bound: int) -> DataFrame:
+    """Batch form: each run's samples in order of ``seq``."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        now = Staleness(trigger * require * mini, bound)
+        for made_by in rows.sort_values("seq")["parameter_version"]:
+            now.take(int(made_by))
+        return now.row(key[0])
+
+    return samples.select("run", "seq", "parameter_version").groupBy("run").applyInPandas(run, CONSUMED)
 
 
 # --- M5 heartbeats, M1 staleness, M6 freshness, M11 rollup ---
@@ -170,7 +260,8 @@ def version_rollup(rows: DataFrame) -> DataFrame:
 
 
 def first_abort(spark: SparkSession, path: str):
-    """A foreachBatch function that records the first abort only (M4): rows (reason, source) of a batch."""
+    """A foreachBatch function that records the first abort only (M4): rows (reason, source) of a batch. Of several streams,
+    in any process, the file system lets one write the record."""
     from agentlake.sources.sinks import write_json
 
     def record(batch: DataFrame, batch_id: int) -> None:

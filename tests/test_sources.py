@@ -93,6 +93,22 @@ def test_manifests(spark, tmp_path):
     assert [r["ready"] for r in sinks.index_state(s, 2).collect()] == ["ready", "pending", "failed"]
 
 
+def test_record_comes_from_the_writing_job(spark, tmp_path):
+    """One job a table; its record is what the table gives when it is read, whatever its files and order."""
+    df = spark.createDataFrame([(i % 7, None if i % 5 == 0 else f"t{i}") for i in range(100)], "id int, t string")
+    spark.sparkContext.setJobGroup("recorded", "one write")
+    record = sinks.write_recorded(df, f"{tmp_path}/t.parquet", "t")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("recorded")
+    spark.sparkContext.setJobGroup("after", "reads")
+    assert len(jobs) == 1 and record["rows"] == 100
+    assert record["bytes"] == sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("part-*"))
+    for again in (spark.read.parquet(f"{tmp_path}/t.parquet").orderBy(F.desc("id")), df.repartition(7)):
+        assert sinks.output_record(again, "t") == {k: record[k] for k in ("name", "rows", "sha256")}
+    other = [df.limit(99), df.union(df.limit(1)), df.withColumn("t", F.coalesce("t", F.lit("")))]
+    assert len({sinks.output_record(x, "t")["sha256"] for x in [df, *other]}) == 4
+    assert sinks.write_recorded(df.limit(0), f"{tmp_path}/e.parquet", "e")["rows"] == 0
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1,), (2,)], "id int")
     assert sinks.ensure_table(spark, "t_ensure", lambda: df, "id", {"sha": "1"}, 2) == "built" and sinks.ensure_table(spark, "t_ensure", lambda: df, "id", {"sha": "1"}, 2) == "reused"

@@ -41,11 +41,74 @@ def test_failure_windows(spark, tmp_path):
     assert got == want and all(v[2] for v in want.values())
 
 
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
 def test_group_completion(spark, tmp_path):
-    rows = [("a", 0, 1.0, 0), ("b", 0, 1.0, 0), ("a", 1, 0.0, 1), ("a", 1, 0.5, 1), ("b", 1, 1.0, 2), ("c", 0, 1.0, 2), ("a", 1, 1.0, 2)]
-    df = spark.createDataFrame(rows, "group string, sample int, reward double, part int")
-    got = sorted((r["group"], r["n"], r["mean"], r["mixed"]) for r in run(streams.completed_groups(files(spark, df, tmp_path), 2), tmp_path, "append"))
-    assert got == [("a", 2, 0.5, True), ("b", 2, 1.0, False)]
+    """Complete groups at once; those whose hour is up incomplete; repeats of a finished group change nothing."""
+    rows = [("a", 0, 1.0, at(0), 0), ("b", 0, 1.0, at(0), 0), ("a", 1, 0.0, at(1), 1), ("a", 1, 0.5, at(1), 1), ("b", 1, 1.0, at(2), 2), ("c", 0, 1.0, at(2), 2), ("a", 0, 1.0, at(3), 2), ("a", 1, 1.0, at(3), 2),
+            ("d", 0, 1.0, at(90), 3), ("d", 1, 0.0, at(90), 3), ("e", 0, 1.0, at(91), 4)]
+    df = spark.createDataFrame(rows, "group string, sample int, reward double, ts timestamp, part int")
+    got = sorted(map(tuple, run(streams.completed_groups(files(spark, df, tmp_path, 5), 2), tmp_path, "append")))
+    assert got == [("a", 2, 0.5, True, True), ("b", 2, 1.0, False, True), ("c", 1, 1.0, False, False), ("d", 2, 0.5, True, True)]
+
+
+def test_state_of_groups_ends(spark, tmp_path):
+    """A thousand groups, fifty every ten minutes: state doesn't grow with the groups that are over."""
+    rows = [(f"g{i}", s, float(s), at(i // 50 * 10), i // 50) for i in range(1000) for s in range(2 if i % 5 else 1)]
+    df = spark.createDataFrame(rows, "group string, sample int, reward double, ts timestamp, part int")
+    stream = streams.completed_groups(files(spark, df, tmp_path, 20), 2, timeout_s=600)
+    out, sizes = [], []
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, i: out.extend(b.collect())).start()
+    try:
+        assert q.awaitTermination(300)
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
+    finally:
+        q.stop()
+    assert len(sizes) == 20 and max(sizes[10:]) <= max(sizes[:6])
+    assert sum(r["complete"] for r in out) == 800 and 0 < sum(not r["complete"] for r in out) <= 200 and len({r["group"] for r in out}) == len(out)
+
+
+def test_bounded_staleness(spark, tmp_path):
+    """Versions go up while producers still make samples with old parameters; the stream drops what the batch form drops."""
+    rows = [(run_, seq, max(0, seq // 4 - lag), seq // 8) for run_, lag in (("fresh", 0), ("behind", 2), ("stuck", 9)) for seq in range(40)]
+    df = spark.createDataFrame(rows, "run string, seq long, parameter_version long, part int")
+    want = {r["run"]: tuple(r) for r in streams.consumed_batch(df, 2, 1, 2, 1).collect()}
+    for i in range(5):
+        df.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    told = run(streams.consumed(streams.sample_files(spark, f"{tmp_path}/in", 1), 2, 1, 2, 1), tmp_path, "update")
+    got = {r["run"]: tuple(r) for r in told}  # the last of each run
+    assert got == want and len(told) == 15
+    assert want["fresh"][1:3] == (40, 0) and want["stuck"][1:] == (8, 32, 2, 2) and 0 < want["behind"][2] < 32
+
+
+def test_parts_of_a_stream_that_was_killed(spark, tmp_path):
+    """Killed after a part was written but before its batch counted, then restarted; later the whole input comes again."""
+    rows = [(f"k{i}", i, i // 4) for i in range(12)] + [("k1", 99, 2)]
+    df = spark.createDataFrame(rows, "key string, v int, part int")
+    source = files(spark, df, tmp_path)
+    write = sinks.parts_of(f"{tmp_path}/out", "key")
+
+    def killed(batch, i):
+        write(batch, i)
+        if i == 1:
+            raise RuntimeError("killed")
+
+    def start(f, checkpoint):
+        q = source.writeStream.option("checkpointLocation", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).foreachBatch(f).start()
+        q.awaitTermination(150)
+
+    with pytest.raises(Exception, match="killed"):
+        start(killed, "cp")
+    start(write, "cp")
+    parts = lambda: sorted((r["key"], r["v"]) for r in spark.read.json(f"{tmp_path}/out").collect())
+    want = sorted((f"k{i}", i) for i in range(12))
+    assert parts() == want
+    start(write, "another")  # a checkpoint that was lost
+    assert parts() == want
+    sinks.write_parts(df.drop("part").filter("v < 3").union(spark.createDataFrame([("new/key", 1)], "key string, v int")), f"{tmp_path}/out", "key")
+    assert parts() == sorted([*want, ("new/key", 1)])
 
 
 def test_version_rollup(spark, tmp_path):
@@ -71,6 +134,7 @@ def test_bounds_and_aborts(spark, tmp_path):
     record = streams.first_abort(spark, f"{tmp_path}/abort.json")
     for reason in ("first", "second"):
         record(spark.createDataFrame([(reason, "x")], "reason string, source string"), 0)
+    assert not [f for f in tmp_path.iterdir() if "partial" in f.name]
     assert sinks.read_json(spark, f"{tmp_path}/abort.json")["reason"] == "first"
     old = spark.createDataFrame([(T0,), (T0 + dt.timedelta(hours=1),)], "modificationTime timestamp")
     assert streams.fresh_files(old, (T0 + dt.timedelta(hours=1)).replace(tzinfo=dt.UTC).timestamp()).count() == 1
