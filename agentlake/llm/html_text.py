@@ -42,6 +42,8 @@ STATES = frozenset("no not non has have with without open closed enabled disable
 #: Furniture that stays so whatever it holds, and words that name readers' text, articles in it included.
 FIXED = frozenset("nav header footer aside menu dialog".split())
 READERS = frozenset("comment comments commentlist discussion disqus reply replies respond related".split())
+#: Words that name furniture in any case; the others of HINTS may name a wrapper of the whole text.
+SURE = READERS | frozenset("cookie cookies consent gdpr copyright disclaimer footer hidden login menu modal nav navbar navigation newsletter overlay popup signup subscribe subscription".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A form of at least so many blocks of so many words, with over half of the page's words, is the page's frame.
 FRAME_BLOCKS, FRAME_WORDS = 2, 15
@@ -50,13 +52,12 @@ FRAME_BLOCKS, FRAME_WORDS = 2, 15
 SCRIPT = frozenset(("script", "style"))
 RAW = SCRIPT | frozenset("textarea title xmp iframe noembed noframes noscript template svg object canvas video audio".split())
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+START = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+EDGE = re.compile(r"[>\"']")
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Pages whose texts are sent on together.
+PAGES_AT_ONCE = 64
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "article_on_page")
 
 
@@ -78,8 +79,52 @@ class Open(NamedTuple):
     heading: bool
 
 
-def _says(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(article, furniture, readers' text) for an element."""
+class Tag(NamedTuple):
+    """A place of the page with its end: of a tag with its name in lower case, or without one of a comment or declaration."""
+
+    start: int
+    stop: int
+    name: str = ""
+    end: bool = False
+    attrs: str = ""
+
+
+class Tags:
+    """A page's tags, found one after the other in time that is linear in its length, whatever is left unclosed.
+
+    A tag ends at its first ``>`` outside quotes; a quote that isn't closed in the rest of the page counts as any other
+    character. If quotes swallow all of a tag's ends, this tag and all later ones end at their first ``>``, so the rest
+    isn't looked through once for each. Without a ``>`` ahead there is no tag, and without ``-->`` a comment has no end.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, {c: page.rfind(c) for c in ">\"'"}, True
+
+    def _stop(self, at: int) -> int:
+        i = at
+        while self.quoted and (m := EDGE.search(self.page, i)):
+            if m[0] == ">":
+                return m.end()
+            i = self.page.find(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+        self.quoted = False
+        return self.page.find(">", at) + 1
+
+    def after(self, at: int) -> Tag | None:
+        while m := START.search(self.page, at):
+            if m[0] == "<!--":
+                stop = self.page.find("-->", m.end())
+                return Tag(m.start(), stop + 3 if stop >= 0 else len(self.page))
+            if m.end() > self.last[">"]:
+                return None
+            if not m["tag"]:
+                return Tag(m.start(), self.page.find(">", m.end()) + 1)
+            stop = self._stop(m.end())
+            return Tag(m.start(), stop, m["tag"].lower(), bool(m["end"]), self.page[m.end() : stop - 1])
+        return None
+
+
+def _says(tag: str, attrs: str, classes: bool) -> tuple[bool, bool, bool]:
+    """(article, furniture, readers' text) for an element. Without ``classes`` only words that are SURE name furniture."""
     article, furniture, readers = tag in ARTICLE, tag in FURNITURE, False
     if attrs.strip():
         for name, a, b, c in NAMED.findall(attrs):
@@ -87,13 +132,13 @@ def _says(tag: str, attrs: str) -> tuple[bool, bool, bool]:
             article |= name.lower() == "role" and value == "main" or value.replace(" ", "") == "articlebody"
             for token in value.split():
                 words = {w for w in re.split(r"[^a-z]+", token) if w}
-                if words & HINTS and not words & STATES and tag not in ("html", "body"):
+                if words & (HINTS if classes else SURE) and not words & STATES and tag not in ("html", "body"):
                     furniture, readers = True, readers or bool(words & READERS)
         furniture |= bool(HIDDEN.search(attrs))
     return article, furniture, readers
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+def text_blocks(page: str, classes: bool = True) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, article, furniture) for each block with text, in page order."""
     found: list[tuple[str, int, int, int, Open]] = []
     stack: list[Open] = []
@@ -125,14 +170,14 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
     at = 0
     unclosed: set[str] = set()  # names of RAW without an end tag in the rest of the page
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    tags = Tags(page)
+    while m := tags.after(at):
+        if m.start > at:
+            add(page[at : m.start])
+        at, tag = m.stop, m.name
         if not tag:
             continue
-        if tag in RAW and not m["end"] and (tag in SCRIPT or not m["attrs"].endswith("/")):
+        if tag in RAW and not m.end and (tag in SCRIPT or not m.attrs.endswith("/")):
             if tag not in unclosed and (close_tag := ENDS[tag].search(page, at)):
                 at = close_tag.end()
                 continue
@@ -145,7 +190,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             flush()
         elif tag == "br":
             held.append(" ")
-        if m["end"]:
+        if m.end:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -160,9 +205,9 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag not in VOID and tag not in RAW and not m["attrs"].endswith("/"):
+        if tag not in VOID and tag not in RAW and not m.attrs.endswith("/"):
             around = stack[-1] if stack else nothing
-            article, furniture, readers = _says(tag, m["attrs"])
+            article, furniture, readers = _says(tag, m.attrs, classes)
             hinted = (*around.hinted, Hinted(tag, readers)) if furniture else around.hinted
             stack.append(Open(tag, around.article or article, hinted, around.heading or tag in HEADINGS))
             if tag in depth:
@@ -299,20 +344,26 @@ def trained_tree() -> tuple:
 
 
 def main_text(page: str, tree: tuple) -> str:
-    blocks = text_blocks(page)
-    if not blocks:
-        return ""
-    return "\n".join(b[0] for b, row in zip(blocks, features(blocks).tolist(), strict=True) if classify(tree, row))
+    """The blocks that the tree takes; if it takes none, those that it takes when only SURE words of classes, ids and roles
+    name furniture, so that no page is emptied by the words of its wrappers."""
+    for classes in (True, False):
+        blocks = text_blocks(page, classes)
+        taken = [b[0] for b, row in zip(blocks, features(blocks).tolist(), strict=True) if classify(tree, row)] if blocks else []
+        if taken:
+            break
+    return "\n".join(taken)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], tree: tuple) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page or "", tree) for page in batch.column(2).to_pylist()]
+    small = (batch.slice(a, PAGES_AT_ONCE) for batch in batches for a in range(0, batch.num_rows, PAGES_AT_ONCE))
+    for batch in small:
+        texts = [main_text(page.as_py() or "", tree) for page in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages``. Null or empty html gives an empty text; repeated rows come
-    out alike; other columns are ignored. One pass, no shuffle; a page is held in memory whole."""
+    """page_id, url, text, n_chars for every row of ``pages``. Null or empty html gives an empty text, an empty table no rows;
+    repeated rows come out alike; other columns are ignored. One pass, no shuffle; a page is read whole, however long, in
+    time that grows with its length."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(partial(_extract, tree=trained_tree()), "page_id long, url string, text string, n_chars long")
