@@ -11,6 +11,7 @@ from agentlake.operators import episodes, inverted_index, tolerance, vector_inde
 from agentlake.operators.order import shared_dir
 from agentlake.plans.queries import _BM25, _NUM, _benchmark_queries, query
 from agentlake.sources import sinks
+from agentlake.streaming import protocol
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -72,3 +73,18 @@ def tables_recorded(table):
         record = sinks.write_recorded(df, _folder(df, name), name, row)
         out.append((record["name"], record["rows"], record["sha256"]))
     return df.sparkSession.createDataFrame(out, "name string, rows long, sha256 string")
+
+
+@query("""
+WITH e AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last, min(CASE WHEN role = 'assistant' THEN turn + 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS seen,
+    coalesce(max(CASE WHEN role = 'assistant' THEN turn + 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS made,
+    sum((role <> 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+o AS (SELECT conv_id, n::INT AS nth, made::INT AS made, seen::INT AS seen, text, 300 - length('[observation obs_' || n::INT || ']' || chr(10)) AS room FROM e WHERE role <> 'assistant')
+SELECT conv_id::VARCHAR AS episode_id, nth, 'obs_' || nth AS observation_id, made AS generated_by_request, seen AS delivered_to_request,
+  md5(CASE WHEN seen IS NULL THEN NULL WHEN length(text) > room THEN substr(text, 1, room - 14) || '...(truncated)' ELSE text END) AS delivered,
+  EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = o.conv_id AND role = 'assistant') AS terminal_seen FROM o""")
+def episodes_recorded(table):
+    """Conversations replayed by the episode protocol: every observation and when it was delivered."""
+    found = protocol.records(protocol.conversation_events(table("conversations")), 300)
+    at = found.select("episode_id", "terminal_seen", F.explode("observations").alias("o"))
+    return at.select("episode_id", F.col("o.order").alias("nth"), "o.observation_id", "o.generated_by_request", "o.delivered_to_request", F.md5("o.delivered_text").alias("delivered"), "terminal_seen")
