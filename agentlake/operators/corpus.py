@@ -31,9 +31,12 @@ def parallel_contexts(df: DataFrame) -> DataFrame:
 
 def passages(df: DataFrame) -> DataFrame:
     """Rows with collapsed title and text that are kept (F4), with their content id."""
-    out = df.withColumn("title", tx.collapse("title")).withColumn("text", tx.collapse("text"))
+    names = df.columns
+    both = F.array(F.struct(tx.collapse("title").alias("title"), tx.collapse("text").alias("text")))
+    # generated, so that what follows reads the collapsed texts instead of collapsing them again
+    out = df.select(*(c for c in names if c not in ("title", "text")), F.explode(both).alias("_both")).select("*", "_both.title", "_both.text").drop("_both")
     out = out.filter((F.col("title") != "") & (F.length("text") >= LEAST_TEXT))
-    return out.withColumn("id", tx.passage_id(F.col("title"), F.col("text")))
+    return out.select(*names).withColumn("id", tx.passage_id(F.col("title"), F.col("text")))
 
 
 def first_of_each(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

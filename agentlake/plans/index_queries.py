@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.operators import episodes, inverted_index, tolerance, vector_index
+from agentlake.functions import tokens
+from agentlake.functions.register import register
+from agentlake.operators import episodes, inverted_index, retrieval, tolerance, vector_index
 from agentlake.operators.order import shared_dir
-from agentlake.plans.queries import _BM25, _NUM, _benchmark_queries, query
+from agentlake.plans.queries import _BM25, _LINES, _NUM, _benchmark_queries, _files, query
 from agentlake.sources import sinks
 from agentlake.streaming import protocol
 
@@ -88,3 +90,41 @@ def episodes_recorded(table):
     found = protocol.records(protocol.conversation_events(table("conversations")), 300)
     at = found.select("episode_id", "terminal_seen", F.explode("observations").alias("o"))
     return at.select("episode_id", F.col("o.order").alias("nth"), "o.observation_id", "o.generated_by_request", "o.delivered_to_request", F.md5("o.delivered_text").alias("delivered"), "terminal_seen")
+
+
+def _by_sql(df: DataFrame, sql: str) -> DataFrame:
+    """``sql`` over the view ``given`` with this engine's functions."""
+    register(df.sparkSession)
+    return df.sparkSession.sql(sql, given=df)
+
+
+@query(f"WITH {_LINES} SELECT * FROM f WHERE contains(lower(line), 'licensed under') ORDER BY file_name, line_no LIMIT 40")
+def grep_by_sql(table):
+    lines = retrieval.line_table(_files(table))
+    return _by_sql(lines, "SELECT * FROM grep_lines(TABLE(SELECT * FROM {given}), 'Licensed under') ORDER BY file_name, line_no LIMIT 40")
+
+
+@query(f"WITH {_LINES} SELECT * FROM f WHERE file_name = 'doc_000000.txt' AND line_no BETWEEN 3 AND 12")
+def read_by_sql(table):
+    lines = retrieval.line_table(_files(table))
+    return _by_sql(lines, "SELECT * FROM read_lines(TABLE(SELECT * FROM {given}), 'doc_000000.txt', 2, 10)")
+
+
+@query("SELECT printf('doc_%06d.txt', doc_id) AS file_name FROM documents ORDER BY 1 LIMIT 250")
+def list_by_sql(table):
+    return _by_sql(_files(table), "SELECT * FROM list_names(TABLE(SELECT * FROM {given}), '.txt') ORDER BY file_name LIMIT 250")
+
+
+@query("""
+SELECT doc_id, round(len(list_filter(['licensed', 'version', 'for'], lambda t: contains(lower(coalesce(text, '')), t))) / 3::DOUBLE, 9) AS score
+FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def search_by_sql(table):
+    found = _by_sql(table("documents"), "SELECT * FROM search_docs(TABLE(SELECT * FROM {given}), 'Licensed version of for', 20) ORDER BY score DESC, doc_id LIMIT 20")
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query()
+def texts_cut_to_tokens(table):
+    """Documents within 400 tokens, head and tail kept; a tokenizer is beyond SQL, the test encodes every result again."""
+    cut = table("documents").select("doc_id", tokens.head_tail_tokens("text", "byte_bpe_50k.json", 400).alias("cut"))
+    return cut.select("doc_id", "cut.text", "cut.omitted")

@@ -68,3 +68,26 @@ def test_pipelines(spark, tmp_path):
     q = spark.range(100).select(F.format_string("q%03d", "id").alias("source_id"), F.when(F.col("id") % 4 == 0, "2hop").otherwise("3hop").alias("hop_type"), F.col("id").alias("pos"))
     one, two = (pipelines.make_splits(spark, f"{tmp_path}/s{i}", q.repartition(i + 1), 20, 40, "7") for i in range(2))
     assert one["test_n"] == 40 and one["test_ids_sha256"] == two["test_ids_sha256"]
+
+
+def test_tables_and_aggregates_in_sql(spark):
+    """Table functions over a table argument equal the DataFrame operators; a missing column is named."""
+    from agentlake.operators import retrieval
+
+    register(spark)
+    docs = spark.createDataFrame([(i, f"f{i % 4}.txt", f"alpha {'beta' if i % 2 else 'BETA gamma'}\nline {i}") for i in range(40)], "doc_id long, file_name string, text string").repartition(3)
+    docs.createOrReplaceTempView("t_docs")
+    retrieval.line_table(docs).createOrReplaceTempView("t_lines")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    lines = spark.table("t_lines")
+    assert rows(spark.sql("SELECT * FROM grep_lines(TABLE(t_lines), 'Beta G')")) == rows(retrieval.grep(lines, "beta g", limit=100))
+    assert rows(spark.sql("SELECT * FROM read_lines(TABLE(t_lines), 'f1.txt', 1, 900)")) == rows(retrieval.read_slice(lines, "f1.txt", 1, 900))
+    assert rows(spark.sql("SELECT * FROM list_names(TABLE(t_docs), 'f')")) == rows(retrieval.list_names(docs, "f"))
+    asked = spark.createDataFrame([(1, "gamma alpha delta")], "query_id long, query string")
+    got = spark.sql("SELECT doc_id, score FROM search_docs(TABLE(t_docs), 'gamma alpha delta', 7) ORDER BY score DESC, doc_id LIMIT 7").collect()
+    assert [tuple(r) for r in got] == [(r["doc_id"], r["score"]) for r in retrieval.keyword_rank(docs, asked, 7).orderBy("rank").collect()]
+    with pytest.raises(Exception, match="line_no"):
+        spark.sql("SELECT * FROM grep_lines(TABLE(t_docs), 'x')").collect()
+    p = spark.sql("SELECT g, sign_flip_p(d) AS p FROM VALUES ('up', 1), ('up', 1), ('up', 1), ('up', 1), ('up', 1), ('up', 1), ('up', 1), ('up', 1), ('even', 1), ('even', -1), ('even', NULL), ('none', 0) AS t(g, d) GROUP BY g").collect()
+    p = dict(map(tuple, p))
+    assert p["even"] == p["none"] == 1.0 and 0.002 < p["up"] < 0.02
