@@ -6,9 +6,10 @@ their length; for inner products data get one more component that brings all of
 64-bit keys whose prefixes are nodes of the tree.
 
 A query descends all trees together: at each level its nodes' sizes are counted and summed, for the queries that have
-enough company so far. It then ascends from its longest matches, in all trees at once, to the level at which it has
-``least`` candidates, at the root all rows. ``least`` isn't guessed: a sample of queries is compared with all rows, and the
-smallest one is taken that finds the share ``goal`` of their true neighbours, so the index is as good at every size. The
+enough company so far. It then ascends from its longest matches, in all trees at once, to the first level at which it has
+enough candidates, at the root all rows. What is enough isn't guessed: a sample of queries is compared with all rows, and for
+each level the fewest candidates are taken with which those of the sample that have as many find the share ``goal`` of their
+true neighbours there, so the index is as good at every size, in dense places as in others. The
 candidates of a node are met where its keys lie: nodes are dealt to groups, each group sorts its keys and solves each node
 at once. Of equal vectors k + 1 ids are kept (the result can't hold more) and one query asks for all of them.
 """
@@ -40,12 +41,12 @@ ROUND = 1e-9
 @dataclass(frozen=True)
 class Settings:
     """trees (at most 64) and the symbols of a string; axes: coordinates of a rotation (at most 64); goal: share of the
-    true neighbours that must be found for the ``sample`` queries (those with the smallest hashes of their id)."""
+    true neighbours that the ``sample`` queries (those with the smallest hashes of their id) must find at a level."""
 
     trees: int = 56
     depth: int = 6
     axes: int = 64
-    goal: float = 0.94
+    goal: float = 0.93
     sample: int = 200
     seed: int = 11
 
@@ -226,25 +227,33 @@ def descend(forest: Forest, least: int) -> tuple[DataFrame, DataFrame]:
     return united(totals), united(nodes)
 
 
-def enough(forest: Forest, totals: DataFrame, k: int) -> tuple[int, float]:
-    """The fewest candidates with which the sample finds its share of the true neighbours, and that share."""
-    sample = forest.queries.orderBy(F.xxhash64("query_id"), "query_id").limit(forest.settings.sample).collect()  # ``sample`` rows
+def enough(forest: Forest, totals: DataFrame, k: int) -> list[int | None]:
+    """For each level from 1 on, with how many candidates a query may stop there; None where nothing in the sample says so."""
+    settings = forest.settings
+    sample = forest.queries.orderBy(F.xxhash64("query_id"), "query_id").limit(settings.sample).collect()  # ``sample`` rows
     ids = np.array([r["query_id"] for r in sample])
     vectors = rows_of(pa.array([bytes(r["v"]) for r in sample], pa.binary()), forest.dims, forest.kind)
     known = ids, vectors, np.array([r["keys"] for r in sample])
-    near = forest.data.mapInArrow(partial(_compared, sample=known, k=k, dims=forest.dims, kind=forest.kind, depth=forest.settings.depth), "query_id long, vec_id long, score double, level int")
+    near = forest.data.mapInArrow(partial(_compared, sample=known, k=k, dims=forest.dims, kind=forest.kind, depth=settings.depth), "query_id long, vec_id long, score double, level int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    true = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "level").collect()  # k rows for each of the sample
-    of = {r[0]: r[1:] for r in totals.filter(F.col("query_id").isin(ids.tolist())).groupBy("query_id").agg(*(F.max(F.when(F.col("level") == n, F.col("total"))) for n in range(1, forest.settings.depth + 1))).collect()}
-    if not true:
-        return 1, 1.0
+    true: dict[int, list[int]] = {}
+    for r in near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "level").collect():  # k rows for each of the sample
+        true.setdefault(r["query_id"], []).append(r["level"])
+    held: dict[int, dict[int, int]] = {n: {} for n in range(1, settings.depth + 1)}
+    for r in totals.filter(F.col("query_id").isin(ids.tolist())).collect():  # a row for each level of the sample
+        held[r["level"]][r["query_id"]] = r["total"]
+    return [_fewest([(total, true[q], level) for q, total in of.items() if total and q in true], k, settings.goal) for level, of in held.items()]
+
+
+def _fewest(seen: list[tuple[int, list[int], int]], k: int, goal: float) -> int | None:
+    """The least of k + 1, 2 (k + 1), 4 (k + 1) ... at which queries (total, levels of the true neighbours, level) with as many find ``goal``."""
     least = k + 1
-    while True:
-        stop = {q: max([n for n, total in enumerate(of.get(q, ()), 1) if total and total >= least], default=0) for q in ids.tolist()}
-        share = sum(r["level"] >= stop[r["query_id"]] for r in true) / len(true)
-        if share >= forest.settings.goal:
-            return least, share
+    while some := [x for x in seen if x[0] >= least]:
+        found = [at >= level for _, levels, level in some for at in levels]
+        if sum(found) >= goal * len(found):
+            return least
         least *= 2
+    return None
 
 
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -262,7 +271,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, settings: Setti
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     totals, nodes = descend(forest, k + 1)
     totals = materialise(totals, "totals")
-    least, _ = enough(forest, totals, k)
+    least = F.element_at(F.array(*(F.lit(n).cast("long") for n in enough(forest, totals, k))), F.col("level"))
     reached = totals.filter(F.col("total") >= least).groupBy("query_id").agg(F.max("level").alias("level"))
     at = forest.queries.join(reached, "query_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     keys = F.when(F.col("level") == 0, F.slice("keys", 1, 1)).otherwise(F.col("keys"))  # the root is the first tree's

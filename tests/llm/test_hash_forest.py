@@ -56,11 +56,24 @@ def test_recall(spark, shape):
     for q, found in got.items():
         assert all(s == float((x[i] * x[q]).sum()) for i, s in found) and len(found) == 10
         assert found == sorted(found, key=lambda f: (-f[1], f[0])) and q not in [i for i, _ in found]
-    if shape == "groups":  # few candidates do, so queries stay deep in the trees
-        forest = hash_forest.grow(df, 10, 40, settings)
-        totals, _ = hash_forest.descend(forest, 11)
-        least, found = hash_forest.enough(forest, totals, 10)
-        assert found >= 0.93 and least < 9000
+
+
+def test_enough_for_each_level():
+    """Half of the queries that stop with few candidates miss their neighbours; those with many find them."""
+    seen = [(30, [2, 0], 2)] * 10 + [(500, [2, 3], 2)] * 10
+    assert hash_forest._fewest(seen, 9, 0.9) == 40 and hash_forest._fewest(seen, 9, 0.7) == 10
+    assert hash_forest._fewest(seen[:10], 9, 0.9) is None and hash_forest._fewest([], 9, 0.9) is None
+
+
+def test_dense_places_find_theirs(spark):
+    """A thousand near copies among others: the queries among them find their nearest as the rest do."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(5000, 24))
+    x[:1000] = x[0] + 0.05 * r.normal(size=(1000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got, want = searched(table(spark, np.arange(5000), x, "double"), k=10), brute(np.arange(5000), x, 10, 20)
+    dense = {q: w for q, w in want.items() if q < 1000}
+    assert share(got, dense) >= 0.85 and share(got, want) >= 0.9
 
 
 def test_copies_ties_and_odd_rows(spark):
