@@ -254,7 +254,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, mos
     Vectors (vec_id, embedding) that are null, hold nulls or non-finite numbers, or have a null id take no part; shorter
     ones count as filled up with zeros, very long ones count whole, and a finite component too large for an integer fails
     the query. A query has no rows if there is no other vector. Rows that repeat a vec_id are candidates of their own, but
-    none for a query of that id, and such a query is answered once for each distinct vector. Ties go to the smaller vec_id.
+    none for a query of that id; if its rows hold several vectors, it has the best of what they find together. Ties go to the smaller vec_id.
     An empty table gives no rows; other columns are ignored, whatever their names.
     """
     found = grouped(vectors, k, every, scale, most_pivots)

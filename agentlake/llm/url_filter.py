@@ -73,24 +73,30 @@ def parts(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("host", F.translate(host, upper, lower)).withColumn("path", path)
 
 
+#: The token that every URL holds, under which rules without a literal token are filed.
+ANY = ""
+
+
 def _tokens():
-    return F.array_distinct(F.split(F.lower(F.concat("host", "path")), TOKEN))
+    return F.array_union(F.array(F.lit(ANY)), F.split(F.lower(F.concat("host", "path")), TOKEN))
 
 
 def file_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """Rules by their rarest token, counted over all of ``urls``; ties go to the token that sorts first."""
-    vocabulary = sorted({t for r in rules for t in r.tokens})
+    """Rules by their rarest token, counted over all of ``urls``; ties go to the token that sorts first, and a rule without
+    any stands under ANY."""
+    vocabulary = sorted({ANY, *(t for r in rules for t in r.tokens)})
     held = F.array_intersect(_tokens(), F.array(*map(F.lit, vocabulary)))
     counts = {r[0]: r[1] for r in urls.select(F.explode(held).alias("token")).groupBy("token").count().collect()}  # a row per rule token
     index: dict[str, list[Rule]] = {}
     for rule in rules:
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
+        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default=ANY), []).append(rule)
     return index
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (the site rule that decides, else null), verdict, matched (the name of the deciding
-    rule of either kind, else null) for every row of ``pages``. Nulls, empty and repeated rows are rows like others."""
+    rule of either kind, else null) for every row of ``pages``. Null, empty, very long and repeated URLs are rows like others,
+    ties between rules of one length go to allow, an empty table gives no rows, and other columns are ignored."""
     urls = parts(pages.select("page_id", F.col(url).alias("url")))
     index = file_rules(urls, rules)
     key = F.concat("host", "path")

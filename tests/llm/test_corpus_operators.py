@@ -642,6 +642,17 @@ def test_url_filter(spark):
     assert joined == {i: (g["rule"], g["verdict"], g["matched"]) for i, g in got.items()} and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_rule_without_a_token(spark, monkeypatch):
+    """It is fetched for every URL, in the plan and by the join."""
+    rules = (url_filter.Rule("numbers", "block", r"^[0-9.]+/", (), False, 1), url_filter.word_rule("block", "adult"))
+    df = spark.createDataFrame([(1, "http://10.0.0.1/x"), (2, "http://a.org/1.2/"), (3, "http://adult.org/"), (4, None), (5, "http://" + "a" * 100_000)], "page_id long, url string")
+    want = {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    assert {g["page_id"]: g["verdict"] for g in url_filter.judge(df, rules).collect()} == want
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
+    assert {g["page_id"]: g["verdict"] for g in url_filter.judge(df, rules).collect()} == want
+    assert url_filter.judge(df, rules[:1]).filter("verdict = 'block'").count() == 1
+
+
 def test_near_dedup_blocks(spark, monkeypatch):
     """A family of many close texts, some linked and some not, by pairs and block by block."""
     r = random.Random(9)
