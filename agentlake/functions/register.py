@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -147,6 +149,7 @@ def register(spark: SparkSession) -> list[str]:
     for name, (f, returns) in scalar.items():
         spark.udf.register(name, F.pandas_udf(_vector(f), returns))
     spark.udtf.register("lines_of", F.udtf(Lines, returnType="line_no int, line string"))
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers of table functions may not see the driver's path
     for name, kind in TABLE_FUNCTIONS.items():
         spark.udtf.register(name, F.udtf(kind))
     aggregate(spark, "sign_flip_p", sign_flip_p)
