@@ -30,7 +30,7 @@ from agentlake.llm.shared import hot_join, materialise, narrow
 from agentlake.llm.words import U, raw_texts, text_blocks, tidy
 
 #: Texts are gathered into blocks of about so many bytes, which bounds the arrays that a block's signatures take.
-LINE_BLOCK_BYTES = 512 << 10
+LINE_BLOCK_BYTES = 256 << 10
 #: Lines that a task remembers to have given a signature.
 REMEMBERED = 200_000
 #: Rows up to which (counted) a list of lines or buckets is broadcast.
@@ -74,45 +74,76 @@ def mix_in_place(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_short(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser on ``x`` itself."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hashes of all windows of k codes, from those of windows half as long."""
-    whole, length, power, doubled = None, 0, 0x100000001B3, 1
+    """Polynomial hashes of all windows of k codes, from those of windows half as long, in the integers of ``codes``."""
+    whole, length, doubled, kind = None, 0, 1, codes.dtype.type
+    power, over = (0x100000001B3, 1 << 64) if codes.itemsize == 8 else (0x9E3779B1, 1 << 32)
     with np.errstate(over="ignore"):
         while True:
             if k & 1:
-                whole = codes if whole is None else whole[: len(codes) - length] * U(power) + codes[length:]
+                whole = codes if whole is None else whole[: len(codes) - length] * kind(power) + codes[length:]
                 length += doubled
             k >>= 1
             if not k:
                 return whole[: len(codes)] if whole is not codes else codes.copy()
-            codes = codes[:-doubled] * U(power) + codes[doubled:]
-            power, doubled = power * power % (1 << 64), 2 * doubled
+            codes = codes[:-doubled] * kind(power) + codes[doubled:]
+            power, doubled = power * power % over, 2 * doubled
+
+
+def characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines, each followed by one more, and the lines' numbers of characters."""
+    try:
+        flat = b"\n".join([*lines, b""]).decode()
+    except UnicodeDecodeError:
+        flat = ""
+    codes = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32)
+    ends = np.flatnonzero(codes == 10)
+    if len(ends) == len(lines):
+        return codes, np.diff(ends, prepend=-1) - 1
+    # lines that aren't UTF-8 or hold line feeds
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    return np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def parted(sizes: np.ndarray, k: int, inside: np.ndarray, outside) -> np.ndarray:
+    """For every place in ``characters`` the line's value of ``inside`` if a window of k starts there and ends in the line, else ``outside``."""
+    full = np.maximum(sizes - (k - 1), 0)
+    values = np.stack([inside, np.full_like(inside, outside)], axis=1).ravel()
+    return np.repeat(values, np.stack([full, sizes + 1 - full], axis=1).ravel())
 
 
 def shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of all lines, each shingle's line, and the lines' numbers of characters."""
-    texts = [x.decode("utf-8", "replace") for x in lines]
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-    n = len(flat) - k + 1
+    codes, sizes = characters(lines)
+    n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), sizes
-    acc = mix_in_place(rolled(flat.astype(np.uint64), k))
-    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
-    inside = line[:n] == line[k - 1 :]
-    return acc[inside], line[:n][inside], sizes
+    acc = mix_in_place(rolled(codes.astype(np.uint64), k))
+    inside = parted(sizes, k, np.ones(len(lines), dtype=bool), False)[:n]
+    return acc[inside], np.repeat(np.arange(len(lines), dtype=np.int32), np.maximum(sizes - (k - 1), 0)), sizes
 
 
 def signatures(lines: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (lines, bands) and which lines have any."""
+    """Band hashes (lines, bands) and which lines have any. A shingle's 32-bit hash says its bin and is its value there."""
     m, none = settings.bands * settings.rows, np.iinfo(np.uint32).max
-    h, line, sizes = shingles(lines, settings.characters)
-    low = np.full(len(lines) * m, none, dtype=np.uint32)
-    if len(h):
-        at = ((h >> U(32)) * U(m) >> U(32)).astype(np.int64)
-        at += line * np.int64(m)
-        np.minimum.at(low, at, h.astype(np.uint32))
-    low = low.reshape(len(lines), m)
+    codes, sizes = characters(lines)
+    low = np.full((len(lines) + 1) * m, none, dtype=np.uint32)  # the last row takes the windows that cross lines
+    n = len(codes) - settings.characters + 1
+    if n > 0:
+        h = mix_short(rolled(codes, settings.characters))
+        at = parted(sizes, settings.characters, np.arange(len(lines), dtype=np.int64) * m, len(lines) * m)[:n]
+        at += (h >> np.uint32(16)) * np.uint32(m) >> np.uint32(16)
+        np.minimum.at(low, at, h)
+    low = low.reshape(len(lines) + 1, m)[:-1]
     # an empty bin borrows from the next full one, around the end
     nearest = np.where(low == none, np.int16(2 * m), np.arange(m, dtype=np.int16))
     nearest = np.concatenate([nearest, nearest + np.int16(m)], axis=1)
@@ -123,7 +154,7 @@ def signatures(lines: list[bytes], settings: Settings) -> tuple[np.ndarray, np.n
         for j in range(settings.rows):
             key *= U(0x9E3779B97F4A7C15)
             key += low[:, j :: settings.rows]
-            mix_in_place(key)
+        mix_in_place(key)
     return key.view(np.int64), sizes >= 2 * settings.characters
 
 
@@ -132,53 +163,55 @@ def _lines(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa
     """(doc_id, place, line_no, line, buckets) of lines with text. ``place`` names the row: its id, or its text's hash for
     want of one. Buckets come with one of a line's rows in each part of the texts, if the line is long enough for any."""
     seen: set[int] = set()
+    digest, least = xxhash.xxh64_intdigest, 2 * settings.characters
     for batch in batches:
         for ids, texts in text_blocks(batch, LINE_BLOCK_BYTES):
-            out: list[list] = [[], [], [], []]
-            new, at = {}, []
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            places, upto, numbers, hashes, new, at = [], [0], [], [], [], []
             for doc_id, text in zip(ids.to_pylist(), raw_texts(texts), strict=True):
-                place = line_hash(text or b"") if doc_id is None else doc_id
+                places.append(line_hash(text or b"") if doc_id is None else doc_id)
                 for n, x in enumerate((text or b"").lower().split(b"\n")):
                     x = x.strip()
                     if x:
-                        h = line_hash(x)
-                        if len(x) >= 2 * settings.characters and h not in seen and h not in new:
-                            new[h] = x
-                            at.append(len(out[0]))
-                        for column, value in zip(out, (doc_id, place, n, h), strict=True):
-                            column.append(value)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            seen.update(new)
-            key, fuzzy = signatures(list(new.values()), settings)
-            sizes = np.zeros(len(out[0]), dtype=np.int32)
+                        h = digest(x, 42)
+                        if len(x) >= least and h not in seen:
+                            seen.add(h)
+                            new.append(x)
+                            at.append(len(hashes))
+                        numbers.append(n)
+                        hashes.append(h)
+                upto.append(len(hashes))
+            row = np.repeat(np.arange(len(places)), np.diff(upto))
+            key, fuzzy = signatures(new, settings)
+            sizes = np.zeros(len(hashes), dtype=np.int32)
             sizes[np.array(at, dtype=np.int64)[fuzzy]] = settings.bands
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            columns = [ids.take(pa.array(row)), pa.array(np.array(places, dtype=np.int64)[row]), pa.array(numbers, pa.int32()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(edges, pa.array(key[fuzzy].ravel()))], ["doc_id", "place", "line_no", "line", "buckets"])
 
 
 LINES = "doc_id long, place long, line_no int, line long, buckets array<bigint>"
 
 
-def _held(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit values of (place in the list, shingle), and each value's place."""
-    h, owner, _ = shingles(texts, k)
-    with np.errstate(over="ignore"):
-        values = mix_in_place(h + owner.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    values, first = np.unique(values, return_index=True)
-    return values, owner[first]
-
-
 def similar(a: list[bytes], b: list[bytes], settings: Settings) -> np.ndarray:
-    """Whether lines at the same place are links, by their full sets of shingles."""
-    (x, of_x), (y, of_y) = _held(a, settings.characters), _held(b, settings.characters)
-    sizes = np.bincount(of_x, minlength=len(a)) + np.bincount(of_y, minlength=len(a))
-    if not len(x) or not len(y):
-        return np.zeros(len(a), dtype=bool)
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = np.bincount(of_y[x[at] == y], minlength=len(a))
-    return 100 * both >= settings.percent * np.maximum(1, sizes - both)
+    """Whether lines at the same place are links, by their full sets of shingles.
+
+    One sort: a value is its pair in the highest bits, its shingle's hash in the next, its side in the last; the fewer
+    pairs, the more bits of hash.
+    """
+    h, owner, _ = shingles([*a, *b], settings.characters)
+    side = owner >= len(a)
+    above = max(1, (len(a) - 1).bit_length())
+    values = (h >> U(above)) & ~U(1)
+    values |= (owner - len(a) * side).astype(np.uint64) << U(64 - above)
+    values |= side
+    values.sort()
+    values = values[np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]])]
+    pair = (values >> U(64 - above)).astype(np.int64)
+    both = np.bincount(pair[1:][values[1:] ^ values[:-1] == 1], minlength=len(a))
+    union = np.bincount(pair, minlength=len(a)) - both
+    return 100 * both >= settings.percent * np.maximum(1, union)
 
 
 @tidy
@@ -289,12 +322,14 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def line_texts(need: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line, text) in normal form of the lines ``need`` (line), each cut out of one document that holds it."""
-    where = lines.join(narrow(need, FEW), "line", "left_semi").groupBy("line").agg(F.min(F.struct("place", "line_no")).alias("at"))
-    where = where.groupBy("at.place").agg(F.collect_list(F.struct("line", "at.line_no")).alias("wanted"))  # lines of one document
+    where = lines.join(narrow(need, FEW), "line", "left_semi").groupBy("line").agg(F.min("place").alias("place"), F.min_by("line_no", "place").alias("line_no"))
+    where = where.groupBy("place").agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))  # lines of one document
     placed = texts.withColumn("place", F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
     cut = placed.join(narrow(materialise(where, "where"), FEW), "place").select("wanted", F.split("text", "\n", -1).alias("cut"))
     raw = cut.select(F.explode(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get("cut", w["line_no"]).alias("raw")))).alias("w")).select("w.*")
-    text = F.trim(F.translate("raw", string.ascii_uppercase, string.ascii_lowercase), F.lit(BLANK))
+    # letter by letter only where a text isn't ASCII
+    low = F.when(F.octet_length("raw") == F.char_length("raw"), F.lower("raw")).otherwise(F.translate("raw", string.ascii_uppercase, string.ascii_lowercase))
+    text = F.trim(low, F.lit(BLANK))
     # a place that two rows share may hold other lines as well
     return raw.select("line", text.alias("text")).filter(F.xxhash64("text") == F.col("line")).groupBy("line").agg(F.first(F.encode("text", "utf-8")).alias("text"))
 
@@ -337,15 +372,13 @@ def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
 def document_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (line numbers, ascending) for every doc_id of ``docs``."""
-    told = line_decisions(docs, settings).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.col("kept").cast("long")).alias("n_kept"),
+    told = line_decisions(docs, settings).select("doc_id", "line_no", "kept")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("boolean").alias("kept"))
+    return told.unionByName(ids).groupBy("doc_id").agg(
+        F.count("line_no").alias("n_lines"),
+        F.coalesce(F.sum(F.col("kept").cast("long")), F.lit(0)).alias("n_kept"),
         F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("dropped"),
     )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().alias("i")
-    return ids.join(told.alias("t"), F.col("i.doc_id").eqNullSafe(F.col("t.doc_id")), "left").select(
-        "i.doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
-    )
 
 
 def without_repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

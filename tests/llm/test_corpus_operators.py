@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
@@ -547,6 +548,49 @@ def test_similar_lines_against_python_sets():
     assert line_dedup.similar(a, b, settings).tolist() == want and 200 < sum(want) < 1300
 
 
+def test_characters_and_signatures_of_odd_lines():
+    """Lines that aren't UTF-8 or hold line feeds, empty ones, none: the same windows as of each line by itself."""
+    settings, r = line_dedup.Settings(), random.Random(3)
+    lines = [b"", b"short", "été à la plage de sable".encode(), b"a line with \xe2 broken", b"\x82\xac goes on from there", b"two\nlines in one of them", b"x" * 40]
+    for some in (lines, lines[:3], [], [b""]):
+        h, owner, sizes = line_dedup.shingles(some, 7)
+        alone = [line_dedup.shingles([x], 7)[0] for x in some]
+        assert sizes.tolist() == [len(x.decode("utf-8", "replace")) for x in some] and len(h) == sum(map(len, alone))
+        assert all((h[owner == k] == x).all() for k, x in enumerate(alone))
+        key, fuzzy = line_dedup.signatures(some, settings)
+        assert fuzzy.tolist() == (sizes >= 14).tolist() and all((key[k] == line_dedup.signatures([x], settings)[0][0]).all() for k, x in enumerate(some))
+        assert line_dedup.similar(some, some, settings).tolist() == (sizes >= 7).tolist()
+    # of 1000 pairs just above 85 % about one shares no band
+    a = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=r.randrange(300, 400))).encode() for _ in range(1000)]
+    b = [x[:150] + b"0" + x[151 : 60 + len(x) // 2] + b"1" + x[61 + len(x) // 2 :] for x in a]
+    both = (line_dedup.signatures(a, settings)[0] == line_dedup.signatures(b, settings)[0]).any(1)
+    assert line_dedup.similar(a, b, settings).all() and both.mean() > 0.99
+
+
+def test_texts_of_candidate_lines(spark):
+    """A-Z are lower-cased, other letters stay as they are; two rows share an id, one has none."""
+    rows = [(1, "Ähnlich IST das\nA Line of ASCII \n\tÄhnlich  "), (1, "other\ntext"), (None, "No id\nA Line of ASCII")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([x for x, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows])})
+    cut = pa.Table.from_batches(line_dedup._lines(iter([batch]), line_dedup.Settings())).to_pylist()
+    lines = spark.createDataFrame([tuple(x.values()) for x in cut], line_dedup.LINES)
+    got = line_dedup.line_texts(lines.select("line").distinct(), lines, docs)
+    want = {"Ähnlich ist das", "a line of ascii", "Ähnlich", "other", "text", "no id"}
+    assert {(g["line"], bytes(g["text"])) for g in got.collect()} == {(line_dedup.line_hash(x.encode()), x.encode()) for x in want}
+
+
+def test_signatures_work_on_short_integers():
+    """Their cost is in passes over arrays: at most 25 bytes of working room a character (30 with 64-bit hashes)."""
+    r, settings = random.Random(5), line_dedup.Settings()
+    lines = ["".join(r.choices("abcdefghij ", k=400)).encode() for _ in range(600)]
+    line_dedup.signatures(lines, settings)
+    tracemalloc.start()
+    line_dedup.signatures(lines, settings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(map(len, lines))
+
+
 def test_toxicity_scores_against_one_text_at_a_time(spark, docs, rows):
     """The chain on word sets made by Python, with a model of a few inputs."""
     prefixes = (3, 4, 5, 6)
