@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.llm.components import components
+from agentlake.llm.components import components, merged
 from agentlake.llm.shared import hot_join, materialise, narrow
 from agentlake.llm.words import U, raw_texts, text_blocks, tidy
 
@@ -293,8 +293,8 @@ def open_links(told: DataFrame, found: DataFrame, settings: Settings) -> DataFra
     signs = (F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"sign_{k}") for k in (1, 2))
     heads = told.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"), *signs).filter("low <> high and members > 2")
     # of buckets with the same members one is enough
-    heads = heads.groupBy("members", "sign_1", "sign_2").agg(F.min("bucket").alias("bucket"))
-    open_ = materialise(told.join(narrow(heads.select("bucket"), FEW), "bucket").join(found, "line").select("bucket", "line", "c", "text"), "open")
+    heads = materialise(heads.groupBy("members", "sign_1", "sign_2").agg(F.min("bucket").alias("bucket")).select("bucket"), "heads")
+    open_ = materialise(told.join(narrow(heads, FEW), "bucket").join(found, "line").select("bucket", "line", "c", "text"), "open")
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("size"))
     sizes = sizes.withColumn("small", (F.col("members") <= SMALL_BUCKET) & (F.col("size") <= BLOCK_BYTES))
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")), "sizes")
@@ -321,7 +321,7 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def line_texts(need: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(line, text) in normal form of the lines ``need`` (line), each cut out of one document that holds it."""
+    """(line, text) in normal form of the lines ``need`` (line, repeated or not), each cut out of one document that holds it."""
     where = lines.join(narrow(need, FEW), "line", "left_semi").groupBy("line").agg(F.min("place").alias("place"), F.min_by("line_no", "place").alias("line_no"))
     where = where.groupBy("place").agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))  # lines of one document
     placed = texts.withColumn("place", F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
@@ -344,23 +344,30 @@ def line_decisions(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = materialise(texts.mapInArrow(partial(_lines, settings=settings), LINES), "lines")
     pairs, shared = candidates(lines)
-    need = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "need")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("line"))
+    if 2 * pairs.count() > FEW:
+        need = materialise(need.distinct(), "need")
     found = materialise(line_texts(need, lines, texts), "line_texts")
     lines = lines.drop("place", "buckets")
     side = lambda x: found.select(F.col("line").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     links = materialise(both.mapInArrow(partial(_verified, settings=settings), "a long, b long"), "links")
-    label = components(links).withColumnRenamed("id", "line")
-    told = shared.join(label, "line", "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
+    label = components(links)
+    told = shared.join(narrow(label.withColumnRenamed("id", "line"), FEW), "line", "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
     more = materialise(open_links(told, found, settings), "more")
     if more.limit(1).count():
-        label = components(links.union(more)).withColumnRenamed("id", "line")
+        label = merged(label, more)
+    label = narrow(label.withColumnRenamed("id", "line"), FEW)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     # a line that comes once and is in no component stays as it is
     firsts = materialise(firsts.join(label, "line", "left").filter("times > 1 or component is not null").withColumn("component", F.coalesce("component", "line")), "firsts")
-    chosen = firsts.groupBy("component").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("variants"))
-    firsts = hot_join(firsts.select("line", "component", "times"), chosen, ["component"], "variants")
+    chosen = materialise(firsts.groupBy("component").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("variants")), "chosen")
+    firsts = firsts.select("line", "component", "times")
+    if chosen.count() <= FEW:
+        firsts = firsts.join(F.broadcast(chosen.drop("variants")), "component", "left")
+    else:
+        firsts = hot_join(firsts, chosen, ["component"], "variants")
     firsts = materialise(firsts.select("line", "component", "times", F.col("stays.doc_id").alias("stays_id"), F.col("stays.line_no").alias("stays_no")), "decided")
     if firsts.limit(FEW + 1).count() <= FEW:
         told = lines.join(F.broadcast(firsts.drop("times")), "line", "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.llm.components import components
+from agentlake.llm.components import components, merged
 from agentlake.llm.shared import hot_join, materialise, narrow
 from agentlake.llm.words import U, mixed, shingle_sets, text_blocks, tidy
 
@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     told = shared.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
     more = materialise(open_links(told, classes, texts, settings), "more")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = merged(labels, more)
 
     named = least.join(labels, "id", "left").select(*same, "members", F.coalesce("component", "id").alias("component"))
     out = hot_join(features.select("doc_id", *same), named, same, "members")

@@ -471,6 +471,40 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
+@pytest.mark.parametrize("few", [0, 20, 1_000_000])
+def test_components_that_later_edges_join(spark, monkeypatch, few):
+    """Labels joined by shuffles, broadcast, and (between) broadcast from some round on; later edges may name new ids."""
+    monkeypatch.setattr(cc, "FEW", few)
+    r = random.Random(4)
+    edges = [(r.randrange(100), r.randrange(100)) for _ in range(60)] + [(i, i + 1) for i in range(300, 330)] + [(7, 7)]
+    more = [(r.randrange(130), r.randrange(130)) for _ in range(15)] + [(330, 200), (201, 202), (203, 203)]
+    label = {x: x for e in edges + more if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges + more:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = cc.merged(cc.components(table(edges)), table(more)).collect()
+    assert len(got) == len(label) and {g["id"]: g["component"] for g in got} == label
+    got = cc.merged(cc.components(table([])), table(more[:3])).collect() + cc.merged(cc.components(table(more[:3])), table([])).collect()
+    assert len(got) == 2 * len({x for e in more[:3] for x in e}) == 2 * len({g["id"] for g in got})
+
+
+def test_a_round_of_components_shuffles_once(spark, monkeypatch):
+    """A path of 81 ids takes several rounds; a shuffle has as many tasks as the cluster's setting says, however few the rows."""
+    shuffles, rounds, plain = 0, 0, cc.materialise
+
+    def counted(df, name):
+        nonlocal shuffles, rounds
+        shuffles += df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        rounds += name in ("labels", "hooks")
+        return plain(df, name)
+
+    edges = plain(spark.createDataFrame([(i, i + 1) for i in range(1000, 1080)], "a long, b long"), "edges")
+    monkeypatch.setattr(cc, "materialise", counted)
+    assert {g["component"] for g in cc.components(edges).collect()} == {1000} and shuffles <= rounds
+
+
 def test_words_are_bytes_rules():
     assert words.word_lists(pa.array([" A\x1cB\u00a0É\tC\x0bd ", None, " "])).to_pylist() == [["a\x1cb\u00a0É", "c", "d"], [""], [""]]
 
